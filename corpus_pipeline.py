@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import exact_dedup, langid, packing
+from marginalia.llm import exact_dedup, langid, ngram_jaccard, packing
 from marginalia.llm.common import documents, stored
 from marginalia.llm.queries import tokenizer_file, tokenizer_pattern
 from marginalia.session import importable
