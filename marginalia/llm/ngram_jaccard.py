@@ -6,11 +6,11 @@ group of two linked sets is equal: every node sends the hash of each of its grou
 Sizes are cut into levels with their own number of groups, and a node takes part in each level that a partner's size can
 reach. A node with too few groups that hold anything also sends the shingles of least hash, as a prefix filter does.
 
-The meeting nodes form runs. First each node of a run is verified against the run's least node; components follow. Only
-runs that still span several components need more: their nodes' group counts are points in an R-tree, which is searched
-for points of other components whose overlap, bounded by the sum of coordinate minima, can reach the threshold. Pairs
-that survive are verified on the whole sets. So no link between components is lost, and copies are never expanded into
-all pairs.
+The meeting nodes form runs. A run's nodes are points in an R-tree, with the numbers of shingles by hash group as
+coordinates; the overlap of two is bounded by the sum of coordinate minima. First each node of a run is verified, on the
+whole sets, with the one of the highest bound, and components follow. Only runs that still span several components are
+searched once more, for every pair of different components whose bound reaches the threshold; survivors are verified.
+So no link between components is lost, and copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import FOLD, U64, buffers, mix, span_hashes, steps, stored, word_spans
 from marginalia.llm.graph import components
 
-GROUPS = 32  # coordinates of a count vector
+GROUPS = 256  # coordinates of a count vector
 MAP_BITS = 26  # of the fixed-size bitmap that leaves most uninvolved texts out
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], U64)
 
@@ -104,19 +104,25 @@ class Levels:
         return np.concatenate(out) if out else np.empty(0, U64)
 
 
-def vector(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def vector(own: np.ndarray) -> bytes:
+    """Counts of the shingles by group; two bytes each while every count fits."""
+    counts = np.bincount((own & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes()
+
+
+def counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int64)
 
 
 def _sets(width: int):
-    names = ["doc_id", "n", "node"]
+    names = ["doc_id", "n", "node", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off = buffers(batch.column(1))[1]
             for i, j in steps(off):
                 sets, at = shingle_sets(batch.column(1).slice(i, j - i), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(node_ids(sets, at))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(node_ids(sets, at)), pa.array([vector(sets[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names)
 
     return run
 
@@ -163,7 +169,7 @@ def _send(width: int, percent: int, parts: int, flush: int = 2_000_000):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Runs of nodes with an equal signature: (run, least, node) for every node of a run of two or more; equal runs of a
+    """Runs of nodes with an equal signature: (run, node) for every node of a run of two or more; equal runs of a
     part once."""
     sigs, nodes = [], []
     for raw in table["blob"].to_pylist():
@@ -184,9 +190,9 @@ def _meet(table: pa.Table) -> pa.Table:
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
     sig, node = sig[new], node[new]
-    names = ["run", "least", "node"]
+    names = ["run", "node"]
     if not len(sig):
-        return pa.table([pa.array([], pa.int64())] * 3, names)
+        return pa.table([pa.array([], pa.int64())] * 2, names)
     cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.concatenate([cut, [len(sig)]]))
     name = mix(np.add.reduceat(mix(node.view(U64) ^ _ODD[4]), cut) + size.astype(U64)).view(np.int64)
@@ -195,7 +201,7 @@ def _meet(table: pa.Table) -> pa.Table:
     take[once] = True
     take &= size > 1
     rows = np.repeat(take, size)
-    return pa.table([np.repeat(name, size)[rows], np.repeat(node[cut], size)[rows], node[rows]], names)
+    return pa.table([np.repeat(name, size)[rows], node[rows]], names)
 
 
 def _bitmap(nodes: DataFrame) -> bytes:
@@ -223,10 +229,10 @@ def _bitmap(nodes: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _contents(docs: DataFrame, bitmap: bytes, width: int) -> DataFrame:
-    """(node, counts, shingles) of the nodes in the bitmap, and of a few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    names = ["node", "counts", "shingles"]
+def _contents(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the given nodes, and of a few others that share a bit of the bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    names = ["node", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -239,45 +245,46 @@ def _contents(docs: DataFrame, bitmap: bytes, width: int) -> DataFrame:
                 place = ids.view(U64) >> U64(64 - MAP_BITS)
                 known = (bits[(place >> U64(3)).astype(np.int64)] >> (U64(7) - (place & U64(7))).astype(np.uint8)) & 1
                 rows = [k for k in np.flatnonzero(known & (ids != 0)).tolist() if not (ids[k] in seen or seen.add(ids[k]))]
-                own = [sets[at[k] : at[k + 1]] for k in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array([vector(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary())], names)
 
-    return docs.select("text").mapInArrow(run, "node long, counts binary, shingles binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _verify(percent: int):
-    """Keeps the pairs whose overlap reaches the threshold; the sum of coordinate minima bounds it first."""
+    """Keeps the pairs whose overlap reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, va, vb, sa, sb = batch.columns
+            a, b, one, two = batch.columns
             keep = np.zeros(len(a), bool)
             for k in range(len(a)):
-                x, y = np.frombuffer(sa[k].as_buffer(), U64), np.frombuffer(sb[k].as_buffer(), U64)
-                need = percent * (len(x) + len(y))
-                most = np.minimum(np.frombuffer(va[k].as_buffer(), np.int32), np.frombuffer(vb[k].as_buffer(), np.int32)).sum()
-                if (100 + percent) * int(most) >= need:
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    keep[k] = (100 + percent) * int((both[1:] == both[:-1]).sum()) >= need
+                both = np.concatenate([np.frombuffer(one[k].as_buffer(), U64), np.frombuffer(two[k].as_buffer(), U64)])
+                both.sort()
+                keep[k] = (100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * len(both)
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one = contents.select(F.col("node").alias("a"), F.col("counts").alias("va"), F.col("shingles").alias("sa"))
-    two = contents.select(F.col("node").alias("b"), F.col("counts").alias("vb"), F.col("shingles").alias("sb"))
-    wide = pairs.join(two, "b").join(one, "a").select("a", "b", "va", "vb", "sa", "sb")
-    return wide.mapInArrow(_verify(percent), "a long, b long")
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets. Only texts that occur in a pair are read into sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(_contents(docs, nodes, width), "contents")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_verify(percent), "a long, b long")
+
+
+def fitting(point: np.ndarray, high: np.ndarray, least: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the overlap of `point` with a set below `high`, of `least` shingles or more, can reach the threshold."""
+    return (100 + percent) * np.minimum(point, high).sum(1, dtype=np.int64) >= percent * (int(point.sum(dtype=np.int64)) + least)
 
 
 class RTree:
     """Sort-tile-recursive R-tree over count vectors; answers which points may overlap enough."""
 
-    def __init__(self, points: np.ndarray, fan: int = 16):
-        self.points, self.sizes = points, points.sum(1)
+    def __init__(self, points: np.ndarray, fan: int = 64):
+        self.points, self.sizes = points, points.sum(1, dtype=np.int64)
         order = self._tile(np.arange(len(points)), 0, fan)
         self.levels = []
         groups = [order[i : i + fan] for i in range(0, len(order), fan)]
@@ -298,35 +305,49 @@ class RTree:
 
     def search(self, point: np.ndarray, percent: int) -> np.ndarray:
         """Rows of the points whose bound on the overlap with `point` reaches the threshold."""
-        n = int(point.sum())
-        fits = lambda high, least: (100 + percent) * np.minimum(point, high).sum(1) >= percent * (n + least)
         groups, high, least = self.levels[-1]
-        now = np.flatnonzero(fits(high, least))
+        now = np.flatnonzero(fitting(point, high, least, percent))
         for below in (*self.levels[-2::-1], None):
             at = np.concatenate([groups[g] for g in now]) if len(now) else np.empty(0, np.int64)
             if below is None:
-                return at[fits(self.points[at], self.sizes[at])]
+                return at[fitting(point, self.points[at], self.sizes[at], percent)]
             groups, high, least = below
-            now = at[fits(high[at], least[at])]
+            now = at[fitting(point, high[at], least[at], percent)]
 
 
-def _search(percent: int):
-    """Pairs of a run's nodes in different components that the R-tree can't rule out."""
+def _search(percent: int, nearest: bool, direct: int = 1024):
+    """Pairs of a run's nodes in different components whose bound reaches the threshold: for each node the one with the
+    highest bound, or all. Nodes of the run's largest component are found by the others and don't search themselves. Up
+    to `direct` nodes are bounded without a tree."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, label = table["node"].to_numpy(), table["label"].to_numpy()
-        points = np.array([np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()])
-        tree, a, b = RTree(points), [], []
-        for k in range(len(ids)):
-            for o in tree.search(points[k], percent).tolist():
-                if ids[k] < ids[o] and label[k] != label[o]:
-                    a.append(ids[k])
-                    b.append(ids[o])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        points = np.array([counts(x) for x in table["counts"].to_pylist()])
+        if points.max(initial=0) < 1 << 15:
+            points = points.astype(np.int16)
+        sizes, tree, a, b = points.sum(1, dtype=np.int64), RTree(points) if len(ids) > direct else None, [], []
+        values, place, many = np.unique(label, return_inverse=True, return_counts=True)
+        for k in np.flatnonzero(place != many.argmax()).tolist() if many.max() > 1 else range(len(ids)):
+            found = np.flatnonzero(fitting(points[k], points, sizes, percent)) if tree is None else tree.search(points[k], percent)
+            found = found[label[found] != label[k]]
+            if nearest and len(found) > 1:
+                near = np.minimum(points[k], points[found]).sum(1, dtype=np.int64) / (sizes[k] + sizes[found])
+                found = found[[near.argmax()]]
+            a.append(np.minimum(ids[found], ids[k]))
+            b.append(np.maximum(ids[found], ids[k]))
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
+        return pa.table([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _candidates(runs: DataFrame, vectors: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of the runs (run, node, label) that don't lie in one component."""
+    split = runs.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("run")
+    own = runs.join(split, "run", "left_semi").join(vectors, "node")
+    return own.groupBy("run").applyInArrow(_search(percent, nearest), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, per_part: int = 2_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -338,22 +359,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, per_p
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(docs.mapInArrow(_sets(width), "doc_id long, n long, node long"), "sets")
+    sets = stored(docs.mapInArrow(_sets(width), "doc_id long, n long, node long, counts binary"), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (3 * per_part)))
     sent = docs.select("text").mapInArrow(_send(width, percent, parts), "part int, blob binary")
-    runs = stored(sent.groupBy("part").applyInArrow(_meet, "run long, least long, node long"), "runs")
-    contents = stored(_contents(docs, _bitmap(runs.select("node").distinct()), width), "contents")
-    pairs = runs.filter("least != node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(pairs, contents, percent), "links")
+    runs = stored(sent.groupBy("part").applyInArrow(_meet, "run long, node long").dropDuplicates(["run", "node"]), "runs")
+    involved = runs.select("node").distinct()
+    vectors = stored(sets.filter("n > 0").select("node", "counts").join(involved, "node", "left_semi").dropDuplicates(["node"]), "vectors")
+    near = stored(_candidates(runs.withColumn("label", F.col("node")), vectors, percent, True), "near")
+    links = stored(verified(near, docs, width, percent), "links")
     labels = components(links)
-    # Runs whose nodes are not all in one component yet.
-    of = runs.select("run", "node").distinct().join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
-    split = of.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("run")
-    open_ = of.join(split, "run", "left_semi").join(contents.select("node", "counts"), "node")
-    more = stored(open_.groupBy("run").applyInArrow(_search(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    labelled = runs.join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
+    more = stored(_candidates(labelled, vectors, percent, False).join(near, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        extra = stored(verified(more, contents, percent), "links")
+        extra = stored(verified(more, docs, width, percent), "links")
         if not extra.isEmpty():
             labels = components(links.unionByName(extra))
     named = sets.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
