@@ -132,3 +132,38 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+#: Of the bitmap, whatever the number of its members: 8 MB.
+MAP_BITS = 26
+
+
+def bitmap(nodes: DataFrame) -> bytes:
+    """Bit of every 64-bit hash in the first column, in a bitmap of 2 ** MAP_BITS bits; made on the executors in pieces of
+    64 KB. A hash without its bit is not a member; with many members the bitmap fills and rules out less."""
+    piece = 19
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(U64) >> U64(64 - MAP_BITS)] = True
+        for k in range(1 << (MAP_BITS - piece)):
+            own = bits[k << piece : (k + 1) << piece]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["k", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
+        return pa.table([pa.array([table["k"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "bits"])
+
+    out = bytearray(1 << (MAP_BITS - 3))
+    marked = nodes.coalesce(16).mapInArrow(mark, "k int, bits binary")
+    for r in marked.groupBy("k").applyInArrow(join, "k int, bits binary").collect():
+        out[r["k"] << (piece - 3) : (r["k"] + 1) << (piece - 3)] = r["bits"]
+    return bytes(out)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash has its bit."""
+    place = hashes.view(U64) >> U64(64 - MAP_BITS)
+    return ((bits[(place >> U64(3)).astype(np.int64)] >> (U64(7) - (place & U64(7))).astype(np.uint8)) & 1).astype(bool)

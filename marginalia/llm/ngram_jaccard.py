@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import FOLD, U64, buffers, mix, span_hashes, steps, stored, word_spans
+from marginalia.llm.common import FOLD, U64, bitmap, buffers, in_bitmap, mix, span_hashes, steps, stored, word_spans
 from marginalia.llm.graph import components
 
 GROUPS = 256  # coordinates of a count vector
-MAP_BITS = 26  # of the fixed-size bitmap that leaves most uninvolved texts out
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], U64)
 
 
@@ -204,34 +203,9 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([np.repeat(name, size)[rows], node[rows]], names)
 
 
-def _bitmap(nodes: DataFrame) -> bytes:
-    """Bit of every node in a bitmap of 2 ** MAP_BITS bits, whatever the number of nodes; made on the executors in
-    pieces of 64 KB."""
-    piece = 19
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(U64) >> U64(64 - MAP_BITS)] = True
-        for k in range(1 << (MAP_BITS - piece)):
-            own = bits[k << piece : (k + 1) << piece]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["k", "bits"])
-
-    def join(table: pa.Table) -> pa.Table:
-        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-        return pa.table([pa.array([table["k"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "bits"])
-
-    out = bytearray(1 << (MAP_BITS - 3))
-    marked = nodes.coalesce(16).mapInArrow(mark, "k int, bits binary")
-    for r in marked.groupBy("k").applyInArrow(join, "k int, bits binary").collect():
-        out[r["k"] << (piece - 3) : (r["k"] + 1) << (piece - 3)] = r["bits"]
-    return bytes(out)
-
-
 def _contents(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the given nodes, and of a few others that share a bit of the bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))
     names = ["node", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +216,7 @@ def _contents(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             for i, j in steps(off):
                 sets, at = shingle_sets(batch.column(0).slice(i, j - i), width)
                 ids = node_ids(sets, at)
-                place = ids.view(U64) >> U64(64 - MAP_BITS)
-                known = (bits[(place >> U64(3)).astype(np.int64)] >> (U64(7) - (place & U64(7))).astype(np.uint8)) & 1
+                known = in_bitmap(bits, ids)
                 rows = [k for k in np.flatnonzero(known & (ids != 0)).tolist() if not (ids[k] in seen or seen.add(ids[k]))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array([sets[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary())], names)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, langid, ngram_jaccard, packing, url_filter
+from marginalia.llm import exact_dedup, langid, line_dedup, ngram_jaccard, packing, pieces, ppm, token_counts, topk, url_filter
 from marginalia.llm.common import documents
 
 
@@ -23,11 +24,32 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_ids(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir), min_chars=16)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), rule="first")
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return topk.search(docs, docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -86,7 +108,12 @@ FROM r
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_token_counts": op5_token_counts,
+    "op6_topk_search": op6_topk_search,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
