@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, is computed once and outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -125,13 +125,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, from prefix sums of a polynomial."""
-    if not len(start):
-        return np.empty(0, U64)
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hash of each span of bytes (sorted, apart), from prefix sums of a polynomial; a few MB at a time."""
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        low = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, low + STEP_BYTES, "right")))
+        own = data[low : int(end[j - 1])]
+        up, down = _power_tables(len(own))
+        sums = np.zeros(len(own) + 1, U64)
+        np.cumsum((own.astype(U64) + U64(1)) * up[: len(own)], out=sums[1:])
+        a, b = start[i:j] - low, end[i:j] - low
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 #: Of the bitmap, whatever the number of its members: 8 MB.
