@@ -12,9 +12,7 @@ from marginalia.functions.text import first_year, normalize_author, normalize_ti
 def works(dump: DataFrame) -> DataFrame:
     """(key, title, authors, description, subjects) of a dump's work records."""
     j = F.col("json")
-    keys = F.coalesce(F.from_json(F.get_json_object(j, "$.authors[*].author.key"), "array<string>"), F.from_json(F.get_json_object(j, "$.authors[*].key"), "array<string>"), F.from_json(F.get_json_object(j, "$.authors[*].author"), "array<string>"), F.from_json(F.get_json_object(j, "$.authors"), "array<string>"))
-    one = F.coalesce(F.get_json_object(j, "$.authors[0].author.key"), F.get_json_object(j, "$.authors[0].key"), F.get_json_object(j, "$.authors[0].author"))
-    authors = F.filter(F.coalesce(keys, F.array(one)), lambda k: k.startswith("/authors/"))
+    authors = F.coalesce(F.regexp_extract_all(F.get_json_object(j, "$.authors"), F.lit('"(/authors/[^"]+)"'), 1), F.array().cast("array<string>"))
     text = F.coalesce(F.get_json_object(j, "$.description.value"), F.get_json_object(j, "$.description"))
     return dump.filter("type = '/type/work'").select(F.get_json_object(j, "$.key").alias("key"), F.get_json_object(j, "$.title").alias("title"), authors.alias("authors"), F.nullif(F.trim(text), F.lit("")).alias("description"), F.from_json(F.get_json_object(j, "$.subjects"), "array<string>").alias("subjects"))
 
