@@ -2,9 +2,9 @@
 
 Documents become pieces of at most `capacity` tokens. Pieces are dealt to partitions and packed there by best-fit
 decreasing. Dual-feasible functions give a lower bound on each partition's number of bins: a partition that meets its
-bound is certified and done. In a partition with a gap the bins that are filled to the last token stay; the pieces of all
-other bins go to fewer, larger partitions, together with those of other partitions with gaps, and are packed again, until
-none has a gap or a single partition is left.
+bound, and whose bound is its volume's, is certified and done. In any other the bins that are filled to the last token
+stay; the pieces of the other bins meet those of other partitions with gaps in fewer, larger partitions and are packed
+again, until the bins left over meet the bound of all their pieces together or a single partition is left.
 """
 
 from __future__ import annotations
@@ -59,11 +59,11 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the largest value over two families of dual-feasible functions."""
-    if not len(lengths):
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """Bins that any packing of so many pieces of each length needs: the largest value over two families of
+    dual-feasible functions."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     many, total = np.cumsum(count), np.cumsum(count * size)
@@ -115,7 +115,8 @@ def _pack_round(todo: DataFrame, number: int, capacity: int, last: bool) -> Data
         lengths = table["length"].to_numpy()
         place, offset, bins = best_fit_decreasing(lengths, capacity)
         filled = np.bincount(place, weights=lengths, minlength=bins)
-        done = last or bins <= lower_bound(lengths, capacity)
+        volume = -(-int(lengths.sum()) // capacity)
+        done = last or bins <= volume and volume == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         settled = np.full(len(lengths), True) if done else filled[place] == capacity
         n = len(lengths)
         new = [pa.array(np.full(n, number, np.int32)), table["part"].cast(pa.int64()), pa.array(place), pa.array(offset), pa.array(settled)]
@@ -125,23 +126,29 @@ def _pack_round(todo: DataFrame, number: int, capacity: int, last: bool) -> Data
 
 
 def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 60_000, rounds: int = 8) -> DataFrame:
-    """Pieces with sequence_id and offset; items as from pieces(). per_partition bounds what one task packs;
-    unfinished pieces of all partitions meet again in partitions of the same bound."""
+    """Pieces with sequence_id and offset; items as from pieces(). per_partition bounds what one task packs; it doubles
+    with each exchange, up to 16 times."""
     items = stored(items, "pieces")
     total = items.count()
     todo, done = items, []
     for number in range(rounds):
-        n = partitions(items.sparkSession, total, per_partition)
+        n = partitions(items.sparkSession, total, per_partition * min(16, 2**number))
         last = n == 1 or number == rounds - 1
         keyed = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", F.lit(number)), F.lit(n)).cast("int"))
         out = stored(_pack_round(keyed, number, capacity, last), f"packed{number}")
         done.append(out.filter("settled"))
         if last:
             break
-        todo = out.filter("not settled").select(*_PIECES.names)
-        total = todo.count()
-        if not total:
+        gaps = out.filter("not settled")
+        count = np.zeros(capacity + 1, np.int64)
+        for r in gaps.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
+            count[r["length"]] = r["n"]
+        total = int(count.sum())
+        bins = gaps.select("part", "bin").distinct().count()
+        if bins <= lower_bound(count, capacity):
+            done[-1] = out  # certified together: no exchange can save a bin
             break
+        todo = gaps.select(*_PIECES.names)
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)

@@ -1,0 +1,300 @@
+"""The ten operators against brute force, on texts with nulls, empty and repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import exact_dedup, langid, line_dedup, ngram_jaccard, packing, pieces, ppm, queries, token_counts, topk, url_filter
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, part string, h string"
+OPS = ["op1_sentencepiece", "op2_line_dedup", "op3_language_id", "op4_lm_scoring", "op5_token_counts", "op6_topk_search", "op7_exact_dedup", "op8_ngram_jaccard", "op9_best_fit_packing"]
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def make_texts():
+    rng = random.Random(3)
+    base = [" ".join("".join(rng.choice(["ta", "no", "Éa", "ri", "so"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 120))) for _ in range(30)]
+    out = base[:]
+    for t in base[:12]:  # near copies: a word changed here and there
+        w = t.split(" ")
+        for k in range(0, len(w), max(1, len(w) // rng.randint(1, 4))):
+            w[k] = w[k] + "x"
+        out.append(" ".join(w))
+    lines = [" ".join(rng.choice(["red", "blue", "fish", "bird"]) for _ in range(7)) for _ in range(20)]
+    out += ["\n".join(rng.choice(lines) + rng.choice(["", "", "s", " "]) for _ in range(6)) for _ in range(12)]
+    return out + base[:5] + [None, "", " \n\t", "a", "a b", "A  B", "日本語 text\n\n x", "word " * 3000]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return make_texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", 1, "k", "n", "p", "h") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def test_exact_dedup(docs, texts):
+    groups = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[t or ""].append(i)
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs).collect()}
+    for i, t in enumerate(texts):
+        own = groups[t or ""]
+        assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (max(own), len(own), i == max(own), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_exact_dedup_repeats_and_null_ids(spark):
+    df = spark.createDataFrame([(5, "x"), (5, "x"), (None, "x"), (None, "y")], "doc_id long, text string")
+    rows = exact_dedup.exact_dedup(df).collect()
+    assert sum(r["kept"] for r in rows if r["keep_id"] == 5) == 1 and all(r["group_size"] == 3 for r in rows if r["keep_id"] == 5)
+    assert exact_dedup.without_copies(df).count() == 2
+
+
+def test_cuckoo_index_inserts_deletes_and_grows():
+    index, keys = exact_dedup.CuckooIndex(2), [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    for i, k in enumerate(keys):
+        index.insert(k, i)
+    assert index.size == 3000 and all(index.find(k)[1] == i for i, k in enumerate(keys))
+    assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
+    assert all((index.find(k) is None) == (i % 2 == 0) for i, k in enumerate(keys)) and index.size == 1500
+
+
+def test_jaccard_components(docs, texts):
+    sets = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert len(set(label.values())) < len(texts) - 5
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_group_signatures_lose_no_link():
+    rng, levels = np.random.default_rng(5), ngram_jaccard.Levels(85)
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        cut = one[rng.random(len(one)) > rng.random() * 0.16]
+        two = np.unique(np.concatenate([cut, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(one) // 8))).astype(np.uint64)]))
+        both = len(np.intersect1d(one, two))
+        if len(two) and 100 * both >= 85 * (len(one) + len(two) - both) and both < max(len(one), len(two)):
+            assert len(np.intersect1d(levels.signatures(one), levels.signatures(two)))
+
+
+def test_rtree_finds_what_the_bound_allows():
+    rng = np.random.default_rng(1)
+    points = rng.poisson(1.0, (900, ngram_jaccard.GROUPS))
+    points[::3] = points[1::3] + (rng.random((300, ngram_jaccard.GROUPS)) < 0.05)
+    tree = ngram_jaccard.RTree(points)
+    for k in range(0, 900, 50):
+        want = np.flatnonzero(ngram_jaccard.fitting(points[k], points, points.sum(1), 85))
+        assert sorted(tree.search(points[k], 85).tolist()) == want.tolist()
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rows = packing.pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    by_doc, by_bin = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_bin[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        own = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [(r["start"], r["length"]) for r in own] == packing.cut(len(ids), 1024) and sum(r["length"] for r in own) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+    for own in by_bin.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+    assert len(by_bin) <= math.ceil(sum(r["length"] for r in rows) / 1024) + 1
+
+
+def test_bounds_and_exchange(spark):
+    assert packing.lower_bound(np.bincount([600, 600, 600], minlength=1025), 1024) == 3 and packing.lower_bound(np.zeros(1025, np.int64), 1024) == 0
+    rng = random.Random(2)
+    items = spark.createDataFrame([(i, 0, 0, rng.randint(1, 1024), 0) for i in range(600)], packing.PIECES)
+    rows = packing.pack(items, 1024, per_partition=100).collect()
+    lengths = np.array([r["length"] for r in rows])
+    assert len(rows) == 600 and len({r["sequence_id"] for r in rows}) <= packing.best_fit_decreasing(lengths, 1024)[2] + 3
+
+
+def test_language_codes_and_edges(docs, spark):
+    code = langid.codewords(4)
+    assert code.shape == (4, 7) and min((code[a] != code[b]).sum() for a in range(4) for b in range(a)) == 4
+    assert langid.codewords(12).shape[0] == 12 and langid.codewords(1).shape == (1, 1)
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    edge = next(i for i, r in got.items() if r["lang_pred"] == "und")
+    assert got[edge]["score"] == 0 and all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    assert all(r["lang_pred"] == "und" for r in langid.identify(docs, None).collect())
+
+
+def test_language_held_out_accuracy(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(df, langid.train(df)).filter("held_out").join(df.select("doc_id", "lang"), "doc_id")
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+
+
+def test_lm_base_and_probabilities(docs, texts):
+    tokens = {i: [*words(t), "\0end"] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    count = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    total, kinds = sum(count.values()), len(count)
+    for r in ppm.lm_scores(docs).collect():
+        own = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(own), sum(count[w] > 0 for w in own), total)
+        assert abs(r["base_score"] - sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in own)) < 1e-6 and r["score"] < 0
+
+
+def test_trie_sums_to_one():
+    data = np.frombuffer(b"tatatinotata", np.uint8)
+    size = np.array([6, 2, 4])
+    seq, deep, _ = ppm.events(data, size)
+    keys, counts = [], []
+    for k in range(4):
+        key, n = np.unique(ppm.grams(seq, deep, k)[1], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+    trie = ppm.Trie(keys, counts)
+    for context in (b"", b"t", b"ta", b"tat", b"zz", b"no"):
+        # All 256 continuations of one context: the last predicted byte of each.
+        total = 0.0
+        for b in range(256):
+            seq = np.frombuffer(b" " + context + bytes([b]), np.uint8)
+            total += 10 ** trie.code_lengths(seq, np.arange(len(seq) - 1) + 1)[-1]
+        assert abs(total - 1) < 1e-9
+
+
+def test_line_dedup(docs, texts):
+    lines = [(i, n, x.strip(" \t\v\f\r")) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n")) if x.strip(" \t\v\f\r")]
+    first = {}
+    for i, n, x in sorted(lines):
+        first.setdefault(x, (i, n))
+
+    def close(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    near = {x for x in first if len(x) >= 16 and any(len(y) >= 16 and first[y] < first[x] and abs(len(x) - len(y)) < 2 and close(x, y) for y in first)}
+    want = {(i, n): x in near for i, n, x in lines if x in near or first[x] != (i, n)}
+    assert near and {(r["doc_id"], r["line_no"]): r["near"] for r in line_dedup.repeated_lines(line_dedup.split_lines(docs), 16).collect()} == want
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want))
+
+
+def test_sentencepiece_matches_the_library(docs, texts):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        proto = f.read()
+    unigram = pb.ModelProto()
+    unigram.ParseFromString(proto)
+    unigram.trainer_spec.model_type = 1
+    for p in unigram.pieces:  # sums of scores stay exact in single precision
+        p.score = max(p.score, -32000.0)
+    odd = [*texts, " lead", "trail ", "a   b", "x" * 900, "ab" * 300 + " c", "a\x00b"]
+    for raw in (proto, unigram.SerializeToString()):
+        model, library = pieces.PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        table, got = model.decoder(), model.encode(pa.array(odd, pa.string()))
+        assert [x.tolist() for x in got] == library.encode([t or "" for t in odd])
+        assert [model.decode(x, table).decode() for x in got] == [t or "" for t in odd]
+    assert pieces.piece_ids(docs, P.path("piece_bpe_32k.model")).filter("not round_trip").isEmpty()
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_section_tokens(docs, texts, rule):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = collections.defaultdict(dict)
+    for r in token_counts.section_tokens(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, rule).collect():
+        rows[r["doc_id"]][r["section"]] = r
+    for i, x in enumerate(texts):
+        parts = re.findall("[^\n]*\n|[^\n]+", x or "") or [""]
+        assert [rows[i][k]["length"] for k in range(len(parts))] == [len(p.encode()) for p in parts]
+        assert sum(r["n_tokens"] for r in rows[i].values()) == len(t.encode(x or "", add_special_tokens=False).ids)
+
+
+def test_attribution_rules():
+    starts, ends = np.array([0, 4, 6]), np.array([4, 6, 10])
+    token_start, token_end = np.array([0, 3, 7]), np.array([3, 7, 10])
+    assert [token_counts.attribute(starts, ends, token_start, token_end, r)[0].tolist() for r in ("first", "last", "most")] == [[0, 0, 2], [0, 2, 2], [0, 1, 2]]
+
+
+def test_topk(docs, texts, spark):
+    tf = {i: collections.Counter(words(t)) for i, t in enumerate(texts)}
+    n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
+    df = collections.Counter(w for c in tf.values() for w in c)
+    asked = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    got = collections.defaultdict(list)
+    for r in topk.search(docs, asked, k=5, shard_bytes=4000, queries_per_block=3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 9)))
+    for q in (i for i in tf if i % 7 == 0):
+        score = {}
+        for i, c in tf.items():
+            s = sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in tf[q] if w in c)
+            if s > 0:
+                score[i] = round(s, 9)
+        assert [s for _, s in got[q]] == pytest.approx(sorted(score.values(), reverse=True)[:5])
+        assert all(score[i] == pytest.approx(s) for i, s in got[q])
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q#f", "http://net/", "http://net", "http://example.com/de/1", "http://b.example.org/fr/", "http://xorg/fr/", "http://cheap-pills.example.com/en/", "http://u.com?x=/net/", "http://adult-x.example.com/de", "ftp://q.net#/"]
+    rows = url_filter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.HOST_RULES, queries.PATTERN_RULES).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows] == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.net", "/en/x", "example.net/en/", "allow"), ("net", "/", "net/", "block"), ("net", "", None, "allow"), ("example.com", "/de/1", "example.com/de/", "block"),
+        ("b.example.org", "/fr/", "org/fr/", "allow"), ("xorg", "/fr/", None, "allow"), ("cheap-pills.example.com", "/en/", None, "block"), ("u.com", "", None, "allow"), ("adult-x.example.com", "/de", None, "block"), ("q.net", "", None, "allow"),
+    ]
+
+
+@pytest.mark.parametrize("name", OPS)
+def test_empty_tables(spark, tmp_path, name):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, docs, texts):
+    import corpus_pipeline
+
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, str(tmp_path))
+        assert after.columns == kept.columns
+        kept = after.cache()
+        if name == "language_id":
+            assert kept.count() <= sum(bool(re.search(r"[^\W\d_]", t or "")) for t in texts)
+        if name == "exact_dedup":
+            assert kept.count() == kept.select("text").distinct().count()
+    want = {r["doc_id"] for r in kept.collect()}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == want and all(r["length"] <= 1024 for r in rows)
