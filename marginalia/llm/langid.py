@@ -100,16 +100,15 @@ class Ecoc:
         return cls(langs, code, odds, bias, weight)
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """Mean log-odds of each text's n-grams, by bit."""
-        keys, off = grams(texts)
-        n = len(off) - 1
-        out = np.zeros((n, self.code.shape[1]))
-        for i, j in steps(off, 1 << 20):
-            own = self.odds[keys[off[i] : off[j]]]
-            if len(own):
-                begin = off[i:j] - off[i]
-                some = np.diff(off[i : j + 1]) > 0
-                out[i:j][some] = np.add.reduceat(own, begin[some], axis=0, dtype=np.float64) / np.diff(off[i : j + 1])[some, None]
+        """Mean log-odds of each text's n-grams, by bit; a few MB of text at a time."""
+        out = np.zeros((len(texts), self.code.shape[1]))
+        for i, j in steps(buffers(texts)[1]):
+            keys, off = grams(texts.slice(i, j - i))
+            for a, b in steps(off, 1 << 20):
+                own = self.odds[keys[off[a] : off[b]]]
+                if len(own):
+                    some = np.diff(off[a : b + 1]) > 0
+                    out[i + a : i + b][some] = np.add.reduceat(own, (off[a:b] - off[a])[some], axis=0, dtype=np.float64) / np.diff(off[a : b + 1])[some, None]
         return out - self.bias
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,12 +141,13 @@ def train(docs: DataFrame, rows_per_lang: int = 2000, mod: int = 4, remainder: i
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            keys, off = grams(batch.column(1))
-            for k, lang in enumerate(langs):
-                own = np.bincount(keys[off[k] : off[k + 1]], minlength=1 << HASH_BITS).astype(np.float64)
-                if own.sum():
-                    total = sums.setdefault(lang, np.zeros(1 << HASH_BITS))
-                    total += own / own.sum()
+            for i, j in steps(buffers(batch.column(1))[1]):
+                keys, off = grams(batch.column(1).slice(i, j - i))
+                for k, lang in enumerate(langs[i:j]):
+                    own = np.bincount(keys[off[k] : off[k + 1]], minlength=1 << HASH_BITS).astype(np.float64)
+                    if own.sum():
+                        total = sums.setdefault(lang, np.zeros(1 << HASH_BITS))
+                        total += own / own.sum()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "sums"])
 
     counts: dict[str, np.ndarray] = {}
