@@ -170,6 +170,23 @@ def test_lm_base_and_probabilities(docs, texts):
         assert abs(r["base_score"] - sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in own)) < 1e-6 and r["score"] < 0
 
 
+def test_lm_adapts_to_the_text(docs, texts):
+    """Scores with and without adaptation differ by what brute force gives, on texts whose tokens are all known."""
+    plain = {r["doc_id"]: r for r in ppm.lm_scores(docs, adapt=0.0).collect()}
+    count = collections.Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), "\0end"])
+    total = sum(count.values()) + len(count)
+    some = 0
+    for r in ppm.lm_scores(docs).collect():
+        own = words(texts[r["doc_id"]])
+        if r["n_known"] == r["n_tokens"]:
+            static = [count[w] / total for w in [*own, "\0end"]]
+            assert plain[r["doc_id"]]["score"] == pytest.approx(sum(map(math.log10, static)))
+            mixed = [p if not i else 0.85 * p + 0.15 * (own[:i].count(own[i]) / i if i < len(own) else 0) for i, p in enumerate(static)]
+            assert r["score"] == pytest.approx(sum(map(math.log10, mixed)))
+            some += 1
+    assert some > 10
+
+
 def test_trie_sums_to_one():
     data = np.frombuffer(b"tatatinotata", np.uint8)
     size = np.array([6, 2, 4])
