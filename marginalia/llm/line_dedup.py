@@ -45,26 +45,14 @@ class Rolling:
         """Hashes of the line without its characters a to b."""
         return self.sums[a] + (self.sums[self.n] - self.sums[b]) * self.down[b - a]
 
-    def prefix(self, k: int) -> np.ndarray:
-        return self.sums[[k]]
 
-    def suffix(self, k: int) -> np.ndarray:
-        """Hash of the last k characters."""
-        return (self.sums[[self.n]] - self.sums[[self.n - k]]) * self.down[[self.n - k]]
-
-
-def _tag(h: np.ndarray, *tags: int) -> np.ndarray:
-    for t in tags:
-        h = mix(h + U64((t + 1) * int(_B) & 0xFFFFFFFFFFFFFFFF))
-    return h
-
-
-def half_keys(line: str) -> list[int]:
-    r, out = Rolling(line), []
-    for longer in (r.n, r.n + 1):
-        half = longer // 2
-        out += [_tag(r.prefix(half), longer, 0), _tag(r.suffix(longer - half), longer, 1)] if longer - half <= r.n else []
-    return np.concatenate(out).view(np.int64).tolist()
+def half_keys(line: str) -> list[Column]:
+    """Hashes of the halves of the named column's line, taken as the longer of two lines and as the shorter."""
+    out = []
+    for more in (0, 1):
+        longer = f"(length({line}) + {more})"
+        out += [F.expr(f"xxhash64(substring({line}, 1, {longer} div 2), {longer}, 0)"), F.expr(f"xxhash64(right({line}, {longer} - {longer} div 2), {longer}, 1)")]
+    return out
 
 
 def segment_keys(line: str) -> list[tuple[int, int, int, int]]:
@@ -117,14 +105,15 @@ def repeated_lines(lines: DataFrame, min_chars: int) -> DataFrame:
     """lines: doc_id, line_no, line (not null). The (doc_id, line_no, h, g) that go, h and g a hash of 128 bits."""
     hashed = lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64("line", F.lit("g")))
     place = F.struct("doc_id", "line_no")
-    firsts = stored(hashed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max(F.length("line")).alias("chars")), "lines")
-
-    # Halves, as rows (h, g, key), of the first occurrence of every distinct line.
-    of_first = F.col("first") == place
-    near = firsts.filter(F.col("chars") >= min_chars).select("h", "g", "first")
-    texts = hashed.join(near, ["h", "g"]).filter(of_first).select("h", "g", "line").dropDuplicates(["h", "g"])
-    halves = hashed.filter(F.length("line") >= min_chars).select("h", "g", "line").mapInArrow(_batches(lambda line: [(x,) for x in half_keys(line)], ["h", "g", "key"]), "h long, g long, key long").distinct()
-    some = stored(texts.join(_shared(halves).select("h", "g").distinct(), ["h", "g"], "left_semi"), "halves")
+    long = F.length("line") >= min_chars
+    halves = [F.min(F.when(long, key)).alias(f"half{k}") for k, key in enumerate(half_keys("line"))]
+    firsts = stored(hashed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"), *halves), "lines")
+
+    # The first occurrence of every distinct line that shares a half with another one.
+    keys = firsts.filter("half0 is not null").select("h", "g", "first", F.explode(F.array(*(f"half{k}" for k in range(len(halves))))).alias("key"))
+    often = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "halves")
+    near = stored(keys.join(often, "key", "left_semi").groupBy("h", "g").agg(F.min("first").alias("first")), "near")
+    some = stored(hashed.join(near, ["h", "g"]).filter(F.col("first") == place).select("h", "g", "line").dropDuplicates(["h", "g"]), "texts")
     segments = some.mapInArrow(_batches(segment_keys, ["h", "g", "key", "longer", "a", "b"]), "h long, g long, key long, longer long, a long, b long")
     spans = _shared(segments).groupBy("h", "g").agg(F.collect_list(F.struct("longer", "a", "b")).alias("spans"))
     left = stored(some.join(spans, ["h", "g"]).join(near, ["h", "g"]), "segments")
@@ -147,7 +136,7 @@ def repeated_lines(lines: DataFrame, min_chars: int) -> DataFrame:
 def split_lines(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """(doc_id, line_no, line) of every line that isn't blank; lines are compared without white space at their ends."""
     parts = docs.select("doc_id", F.posexplode(F.split(F.col("text") if text is None else text, "\n")).alias("line_no", "line"))
-    return parts.withColumn("line", F.regexp_replace("line", r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")).filter("line != ''")
+    return parts.withColumn("line", F.btrim("line", F.lit(" \t\x0b\f\r"))).filter("line != ''")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 16) -> DataFrame:
