@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import U64, mix, stored
+from marginalia.llm.common import U64, bitmap, in_bitmap, mix, stored
 
 SEGMENTS = 16
 _B = U64(0x9E3779B97F4A7C15 | 1)
@@ -113,7 +113,17 @@ def repeated_lines(lines: DataFrame, min_chars: int) -> DataFrame:
     keys = firsts.filter("half0 is not null").select("h", "g", "first", F.explode(F.array(*(f"half{k}" for k in range(len(halves))))).alias("key"))
     often = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "halves")
     near = stored(keys.join(often, "key", "left_semi").groupBy("h", "g").agg(F.min("first").alias("first")), "near")
-    some = stored(hashed.join(near, ["h", "g"]).filter(F.col("first") == place).select("h", "g", "line").dropDuplicates(["h", "g"]), "texts")
+    # A bitmap of fixed size keeps most other lines' texts out of the join's shuffle.
+    members = hashed.sparkSession.sparkContext.broadcast(bitmap(near.select("h")))
+
+    def marked_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(members.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits, batch.column("h").to_numpy())))
+
+    asked = hashed.filter(long).select("doc_id", "line_no", "line", "h", "g")
+    asked = asked.mapInArrow(marked_only, asked.schema)
+    some = stored(asked.join(near, ["h", "g"]).filter(F.col("first") == place).select("h", "g", "line").dropDuplicates(["h", "g"]), "texts")
     segments = some.mapInArrow(_batches(segment_keys, ["h", "g", "key", "longer", "a", "b"]), "h long, g long, key long, longer long, a long, b long")
     spans = _shared(segments).groupBy("h", "g").agg(F.collect_list(F.struct("longer", "a", "b")).alias("spans"))
     left = stored(some.join(spans, ["h", "g"]).join(near, ["h", "g"]), "segments")
