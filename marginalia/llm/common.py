@@ -39,10 +39,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """A new table's place in the shared folder."""
+    return f"{scratch_root(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, is computed once and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_table(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -272,7 +272,7 @@ def test_topk(docs, texts, spark):
     df = collections.Counter(w for c in tf.values() for w in c)
     asked = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "text")
     got = collections.defaultdict(list)
-    for r in topk.search(docs, asked, k=5, shard_bytes=4000, queries_per_block=3).orderBy("query_id", "rank").collect():
+    for r in topk.search(docs, asked, k=5, shard_bytes=4000, block_bytes=3000).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["doc_id"], round(r["score"], 9)))
     for q in (i for i in tf if i % 7 == 0):
         score = {}
