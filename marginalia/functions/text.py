@@ -99,7 +99,7 @@ def first_year(c: Column | str) -> Column:
 
 
 def clean_subject(c: Column | str) -> Column:
-    return F.lower(F.trim(F.regexp_replace(_col(c), r"\s*--\s*Fiction\s*$", "")))
+    return F.lower(F.trim(F.regexp_replace(_col(c), r"(?i)\s*--\s*Fiction\s*$", "")))
 
 
 def format_author(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import catalogue, reading  # noqa: F401  they register their queries
+from marginalia.plans import catalogue, reading, upkeep  # noqa: F401  they register their queries
 from marginalia.plans.register import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
