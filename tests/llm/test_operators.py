@@ -187,6 +187,15 @@ def test_lm_adapts_to_the_text(docs, texts):
     assert some > 10
 
 
+def test_lm_long_unseen_token_costs_the_same_in_any_place(spark):
+    """A token far below 1e-300 isn't floored: after a known token it adds what it costs as a text's first token."""
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    long = "".join(random.Random(4).choice("qxzjkvw0123456789") for _ in range(10_000))
+    rows = [(i, "a b tano tata") for i in range(60) if i not in held] + [(held[0], long), (held[1], "tata " + long)]
+    got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] < -5000 and -3 < got[held[1]] - got[held[0]] < 0
+
+
 def test_trie_sums_to_one():
     data = np.frombuffer(b"tatatinotata", np.uint8)
     size = np.array([6, 2, 4])
