@@ -7,6 +7,9 @@ white space. Texts are cut at those places, equal chunks are encoded once, and t
 from __future__ import annotations
 
 import base64
+import json
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,8 @@ _LEADING = r"^([ \t\n\r\f\v]|$)"
 
 
 class ChunkEncoder:
-    """Encodes with the ranks of a tiktoken file; strings of special tokens are ordinary text."""
+    """Encodes with the ranks of a tiktoken file. The tokens that the .json file of the same name adds to the vocabulary are
+    taken out of the texts first, as tokenizers does; without such a file there are none."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -29,10 +33,22 @@ class ChunkEncoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = added_tokens(ranks_path)
+        self.added_pattern = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        ranks |= {token.encode(): rank for token, rank in self.added.items()}
         self.token_bytes = np.zeros(max(ranks.values()) + 2, np.int64)
         for token, rank in ranks.items():
             self.token_bytes[rank] = len(token)
 
+    def _whole(self, text: str) -> list[int]:
+        """Ids of one text, split at the added tokens."""
+        if not self.added:
+            return self.encoding.encode_ordinary(text)
+        out = []
+        for part in re.split(f"({self.added_pattern})", text):
+            out += [self.added[part]] if part in self.added else self.encoding.encode_ordinary(part)
+        return out
+
     def _table(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, each after a space, and their offsets; they are encoded as one long string."""
         if not len(chunks):
@@ -46,7 +62,10 @@ class ChunkEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and for each text where its ids begin (len + 1 offsets); null counts as empty."""
         arr = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = set(np.flatnonzero(pc.match_substring_regex(arr, _INSIDE).to_numpy(zero_copy_only=False)).tolist())
+        apart = pc.match_substring_regex(arr, _INSIDE)
+        for token in self.added:
+            apart = pc.or_(apart, pc.match_substring(arr, token))
+        odd = set(np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist())
         if odd:
             mask = np.zeros(len(arr), bool)
             mask[list(odd)] = True
@@ -86,13 +105,23 @@ class ChunkEncoder:
         if odd:
             out, at = [], []
             for i in range(len(arr)):
-                x = np.array(self.encoding.encode_ordinary(arr[i].as_py()), np.uint32) if i in odd else ids[ends[i] : ends[i + 1]]
+                x = np.array(self._whole(arr[i].as_py()), np.uint32) if i in odd else ids[ends[i] : ends[i + 1]]
                 out.append(x)
                 at.append(len(x))
             ids, ends = np.concatenate(out), np.concatenate([[0], np.cumsum(at)])
         return ids, ends
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Ids by content of the added tokens in the .json file beside a tiktoken file. Options that change what a token
+    matches are not known here."""
+    place = Path(ranks_path).with_suffix(".json")
+    added = json.loads(place.read_text(encoding="utf-8"))["added_tokens"] if place.exists() else []
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added):
+        raise ValueError(f"added tokens with options in {place}")
+    return {x["content"]: x["id"] for x in added}
+
+
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 

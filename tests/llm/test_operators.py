@@ -134,6 +134,27 @@ def test_packing(docs, texts):
     assert len(by_bin) <= math.ceil(sum(r["length"] for r in rows) / 1024) + 1
 
 
+def test_added_tokens_have_their_ids(spark):
+    """Ids and lengths in bytes equal those of tokenizers on texts with the file's added token, in op9 and op5."""
+    from tokenizers import Tokenizer
+
+    from marginalia.llm.bpe import encoder
+
+    t, end = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"a {end} b", end, end + end, f"x{end}\n\n  {end}   y  ", f"a  {end}b c <|endoftext|", "a b", f"<|{end}|> 日本 {end}", None, f"word {end} " * 900]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    enc = encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids, at = enc.encode(pa.array(texts))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
+    assert [int(enc.token_bytes[ids[at[k] : at[k + 1]]].sum()) for k in range(len(texts))] == [len((x or "").encode()) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    for i, x in enumerate(want):
+        own = np.array([*x, 2], "<u4")
+        assert {(r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i} == {(s, n, zlib.crc32(own[s : s + n].tobytes())) for s, n in packing.cut(len(own), 1024)}
+
+
 def test_bounds_and_exchange(spark):
     assert packing.lower_bound(np.bincount([600, 600, 600], minlength=1025), 1024) == 3 and packing.lower_bound(np.zeros(1025, np.int64), 1024) == 0
     rng = random.Random(2)
