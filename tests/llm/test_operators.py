@@ -208,6 +208,23 @@ def test_lm_adapts_to_the_text(docs, texts):
     assert some > 10
 
 
+def test_lm_keeps_its_order_on_many_distinct_tokens(spark):
+    """Over 10 million contexts: unseen tokens score as in one trie of order 5 over all distinct training tokens."""
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    train = letters[rng.integers(0, 36, (160_000, 44))]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    asked = [np.concatenate([train[0, :22], train[1, 22:]]), letters[rng.integers(0, 36, 44)]]
+    rows = [(i, " ".join(x.tobytes().decode() for x in own)) for i, own in zip(free, np.split(train, 40), strict=True)] + [(i, x.tobytes().decode()) for i, x in zip(held, asked, strict=True)]
+    got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    seq, deep, _ = ppm.events(train.reshape(-1), np.full(len(train), 44))
+    trie = ppm.Trie(*zip(*(np.unique(ppm.grams(seq, deep, k)[1], return_counts=True) for k in range(6)), strict=True))
+    assert sum(map(len, trie.keys)) > 10_000_000
+    one, two = trie.scores(np.concatenate(asked), np.full(2, 44))
+    assert one - two > 20 and got[held[0]] - got[held[1]] == pytest.approx(one - two, rel=1e-5)
+
+
 def test_lm_long_unseen_token_costs_the_same_in_any_place(spark):
     """A token far below 1e-300 isn't floored: after a known token it adds what it costs as a text's first token."""
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
