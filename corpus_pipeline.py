@@ -23,9 +23,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the smallest doc_id stays."""
+    """Of each component of linked documents the smallest doc_id stays. The stage is operator 8, with that query's
+    definition of a link: four words and 85 %."""
     importable(spark)
-    return ngram_jaccard.without_near_copies(docs)
+    return ngram_jaccard.without_near_copies(docs, width=4, percent=85)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
