@@ -113,6 +113,17 @@ def test_rtree_finds_what_the_bound_allows():
         assert sorted(tree.search(points[k], 85).tolist()) == want.tolist()
 
 
+def test_runs_above_the_direct_limit_find_the_same_pairs():
+    """A run of over 1,024 nodes, through the R-tree, gives the pairs that bounding every node directly gives."""
+    rng = np.random.default_rng(9)
+    points = rng.poisson(1.0, (1100, ngram_jaccard.GROUPS))
+    points[1::2] = points[::2] + (rng.random((550, ngram_jaccard.GROUPS)) < 0.05)
+    run = pa.table({"node": np.arange(1100), "label": np.arange(1100), "counts": [x.astype("<u2").tobytes() for x in points]})
+    for nearest in (True, False):
+        found = ngram_jaccard._search(85, nearest)(run)
+        assert found.num_rows >= 550 and found.equals(ngram_jaccard._search(85, nearest, direct=1100)(run))
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
