@@ -6,10 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Spellings of a tag that count as one.
-TAG_ALIASES = {"scifi": "sci-fi", "sci fi": "sci-fi", "ya": "young adult", "lgbtq+": "lgbtq", "lgbt": "lgbtq"}
-# Tags that say nothing about a book.
-JUNK_TAGS = ("to-read", "owned", "favorites", "kindle", "ebook", "audiobook", "library", "dnf")
-JUNK_PARTS = ("star", "shelf", "read in")
+TAG_ALIASES = {
+    "slow burn romance": "slow burn",
+    "bisexual or pansexual": "bisexual",
+    "sapphic romance": "sapphic",
+    "mlm romance": "mlm",
+    "grumpy / sunshine": "grumpy sunshine",
+}
+# Tags that say nothing about a book, whole and in part.
+JUNK_TAGS = ("all reviews & lists", "books fiction", "kindle unlimited", "audiobook", "kindle", "ebook")
+JUNK_PARTS = ("favourite", "favorite", "best of", "recommended", "review", "to buy", "tbr", "wish list", "wishlist")
+# Moods, which sit on nearly every book.
+MOODS = ("dark", "emotional", "tense", "mysterious", "adventurous", "reflective", "funny", "sad", "challenging", "relaxing", "inspiring", "hopeful", "lighthearted")
+# Words of a spice text by level; the first level with a word in the text counts.
+SPICE_WORDS = (
+    ("Explicit", ("explicit", "hot", "spicy", "high")),
+    ("Medium Spice", ("medium", "average", "moderate")),
+    ("Tame", ("tame", "euphemistic", "low", "mild", "fade", "closed door")),
+    ("No Spice", ("no spice",)),
+)
+# Tropes that are also a tag, spelt as one.
+TROPE_TAGS = {
+    "enemiesToLovers": "enemies-to-lovers", "fakeDating": "fake-dating", "slowBurn": "slow-burn", "forcedProximity": "forced-proximity", "grumpySunshine": "grumpy-sunshine",
+    "competenceKink": "competence-kink", "iceQueen": "ice-queen", "touchStarved": "touch-starved", "foundFamily": "found-family", "cinnamonRoll": "cinnamon-roll",
+}
+# Tags that follow from the pacing.
+PACING_TAGS = {"Slow": "slow-paced", "Fast": "fast-paced"}
 
 
 def _col(c: Column | str) -> Column:
@@ -58,26 +80,33 @@ def humanize(c: Column | str) -> Column:
 
 def canonical_tag(c: Column | str) -> Column:
     """Lower case; hyphens between letters and underscores to spaces; known spellings to one."""
-    s = F.lower(F.trim(_col(c)))
-    s = squeeze(F.replace(F.regexp_replace(s, "(?<=[a-z])-(?=[a-z])", " "), F.lit("_"), F.lit(" ")))
-    out = s
-    for alias, tag in TAG_ALIASES.items():
-        out = F.when(s == alias, tag).otherwise(out)
-    return out
+    s = F.replace(F.regexp_replace(F.lower(_col(c)), "(?<=[a-z])-(?=[a-z])", " "), F.lit("_"), F.lit(" "))
+    s = squeeze(s)
+    known = F.create_map(*(F.lit(x) for pair in TAG_ALIASES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, s), s)
 
 
 def is_junk_tag(c: Column | str) -> Column:
-    s = F.lower(F.trim(_col(c)))
+    s = F.lower(_col(c))
     return s.isin(*JUNK_TAGS) | s.rlike("|".join(JUNK_PARTS))
 
 
 def canonical_spice(c: Column | str) -> Column:
-    """One of five levels; the first word found decides."""
-    s = F.lower(F.trim(F.coalesce(_col(c), F.lit(""))))
-    return (
-        F.when(s.rlike("no spice|none|clean"), "No Spice").when(s.rlike("tame|mild|low"), "Tame")
-        .when(s.rlike("explicit|hot|spicy|high"), "Explicit").when(s.rlike("medium|moderate"), "Medium Spice").otherwise("N/A")
-    )
+    """One of five levels; a null or empty text, and one without a known word, is N/A."""
+    s = F.lower(_col(c))
+    out = F
+    for level, words in SPICE_WORDS:
+        out = out.when(s.rlike("|".join(words)), level)
+    return out.otherwise("N/A")
+
+
+def derived_tags(tropes: Column, tags: Column, pacing: Column) -> Column:
+    """tags, then those that follow from tropes and pacing, unless they are a tag or a trope already."""
+    none = F.array().cast("array<string>")
+    tropes, tags = F.coalesce(tropes, none), F.coalesce(tags, none)
+    known = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+    extra = F.array_compact(F.concat(F.transform(tropes, lambda t: F.try_element_at(known(TROPE_TAGS), t)), F.array(F.try_element_at(known(PACING_TAGS), pacing))))
+    return F.concat(tags, F.array_except(F.array_distinct(extra), F.concat(tags, tropes)))
 
 
 def slugify(c: Column | str) -> Column:

@@ -1,58 +1,217 @@
-"""Recommendations: IDF-weighted scores, reading preferences and a limit per category."""
+"""Recommendations: IDF-weighted scores, reading preferences, reasons and a limit per category.
+
+A score is a sparse dot product: a reader's weights and preference shares against a book's features, which carry the kind's
+weight and the IDF. Readers and books are cut into blocks of bounded size, and each pair of blocks is one matrix product;
+only the best of each reader and category leave it, so what is shuffled follows the readers and not the pairs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import MOODS, canonical_spice, humanize, is_junk_tag, overlap_key
 from marginalia.operators import profile
 
 # Fixed values of the scoring rule.
 KIND_WEIGHT = {"genre": 0.3, "trope": 0.3, "tag": 0.4}
 PREFERENCE_WEIGHT = {"pacing": 1.5, "spice": 1.0, "focus": 1.0}
 PER_CATEGORY, PER_USER = 3, 15
+IN_REASON, IN_CHIPS, GENRES_SHOWN = 3, 4, 3
+USERS_IN_BLOCK, BOOKS_IN_BLOCK = 512, 2048
+
+
+def category(genres: Column) -> Column:
+    """The first two genres, else `Other`."""
+    return F.when(F.size(genres) > 0, F.array_join(F.slice(genres, 1, 2), " · ")).otherwise("Other")
+
+
+def cents(score: Column) -> Column:
+    """Rounded to two decimals, halves up, by way of six, so that the last bits of a sum don't decide."""
+    return F.floor(F.round(score, 6) * 100 + 0.5) / 100
+
+
+def _reader_entries(history: DataFrame, recent: DataFrame, books: DataFrame) -> DataFrame:
+    """(owner, key, value, read): weights and shares of `recent` reads, and every book that a reader has had."""
+    weights = profile.taste_weights(recent, books).select(F.col("user_id").alias("owner"), F.xxhash64("kind", "feature").alias("key"), F.col("weight").alias("value"))
+    hist = profile.preference_histograms(recent, books)
+    total = hist.filter("preference = 'pacing'").groupBy("user_id").agg(F.sum("n").alias("total"))
+    share = hist.join(total, "user_id", "left").select(F.col("user_id").alias("owner"), F.xxhash64("preference", "value").alias("key"), (F.col("n") / F.coalesce("total", F.lit(1))).alias("value"))
+    tastes = weights.unionByName(share).withColumn("read", F.lit(None).cast("long"))
+    had = history.filter("book_id IS NOT NULL").select(F.col("user_id").alias("owner"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("value"), F.col("book_id").cast("long").alias("read")).distinct()
+    return tastes.unionByName(had.join(tastes.select("owner").distinct(), "owner", "left_semi"))
+
+
+def _book_entries(shown: DataFrame, idf: DataFrame) -> DataFrame:
+    """(owner, key, value): features by the kind's weight and IDF, preferences by theirs."""
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in KIND_WEIGHT.items() for x in kv)), F.col("kind"))
+    factor = F.when(F.col("kind") == "genre", weight).otherwise(weight * F.coalesce("idf", F.lit(1.0)))
+    own = profile.features(shown, junk=True).join(idf.select("feature", "idf"), "feature", "left").select(F.col("book_id").alias("owner"), F.xxhash64("kind", "feature").alias("key"), factor.alias("value"))
+    values = {"pacing": F.col("pacing"), "spice": canonical_spice("spice_level"), "focus": F.col("focus")}
+    liked = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("feature"), F.lit(PREFERENCE_WEIGHT[k]).alias("value")) for k, v in values.items())))
+    more = shown.select(F.col("id").alias("owner"), liked.alias("v")).filter("v.feature IS NOT NULL").select("owner", F.xxhash64("v.kind", "v.feature").alias("key"), "v.value")
+    return own.unionByName(more).groupBy("owner", "key").agg(F.sum("value").alias("value"))
+
+
+_PACKED = "block int, owners array<long>, label array<string>, row array<int>, key array<long>, value array<double>, read_row array<int>, read array<long>"
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One row of a block's entries (block, owner, label, key, value, read)."""
+    owner = table["owner"].to_numpy()
+    owners, first, row = np.unique(owner, return_index=True, return_inverse=True)
+    read = ~table["read"].is_null().to_numpy()
+    keyed = table.filter(pa.array(~read))
+    columns = [
+        [table["block"][0].as_py()], [owners], [table["label"].take(pa.array(first)).to_pylist()], [row[~read].astype(np.int32)], [keyed["key"].to_numpy()], [keyed["value"].to_numpy()],
+        [row[read].astype(np.int32)], [table.filter(pa.array(read))["read"].to_numpy()],
+    ]
+    types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _product(users: dict, books: dict, step: int = 1024) -> np.ndarray:
+    """Scores, readers by books, over the keys that both blocks have, a bounded number of keys at a time."""
+    keys = np.intersect1d(users["key"], books["key"])
+    out = np.zeros((len(users["owners"]), len(books["owners"])))
+
+    def dense(side: dict, own: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(own, side["key"]), len(own) - 1)
+        hit = own[at] == side["key"]
+        matrix = np.zeros((len(side["owners"]), len(own)))
+        np.add.at(matrix, (side["row"][hit], at[hit]), side["value"][hit])
+        return matrix
+
+    for i in range(0, len(keys), step):
+        out += dense(users, keys[i : i + step]) @ dense(books, keys[i : i + step]).T
+    return out
+
 
+_BEST = "user_id long, book_id long, category string, score double"
 
-def scores(history: DataFrame, books: DataFrame) -> DataFrame:
-    """(user_id, book_id, category, score) of every unread recommendable book with a score above 0.
 
-    Users meet books through the features they share. Books with equal features, category and preferences score alike,
-    so users are joined with those classes and not with single books.
+def _best(per_category: int):
+    """The best books of every reader and category of a pair of blocks; of equal scores the smallest ids."""
+
+    def side(batch: pa.RecordBatch, i: int, prefix: str) -> dict:
+        names = ("owners", "label", "row", "key", "value", "read_row", "read")
+        values = {n: batch.column(f"{prefix}{n}")[i].values for n in names}
+        return {n: v.to_pylist() if n == "label" else v.to_numpy(zero_copy_only=False) for n, v in values.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                users, books = side(batch, i, "u_"), side(batch, i, "b_")
+                value = np.floor(np.round(_product(users, books), 6) * 100 + 0.5).astype(np.int64)
+                at = np.minimum(np.searchsorted(books["owners"], users["read"]), len(books["owners"]) - 1)
+                had = books["owners"][at] == users["read"]
+                value[users["read_row"][had], at[had]] = 0
+                labels, code = np.unique(np.array(books["label"], object).astype(str), return_inverse=True)
+                out = [[], [], [], []]
+                for c, label in enumerate(labels.tolist()):
+                    own = np.flatnonzero(code == c)
+                    rank = (value[:, own] << 24) + (len(own) - 1 - np.arange(len(own)))  # the smallest id first
+                    if len(own) > per_category:
+                        place = np.argpartition(-rank, per_category - 1, axis=1)[:, :per_category]
+                    else:
+                        place = np.broadcast_to(np.arange(len(own)), (len(value), len(own)))
+                    r, k = np.nonzero(np.take_along_axis(value[:, own], place, 1) > 0)
+                    book = own[place[r, k]]
+                    for column, x in zip(out, (users["owners"][r], books["owners"][book], np.full(len(r), label, object), value[r, book] / 100), strict=True):
+                        column.append(x)
+                types = (pa.int64(), pa.int64(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in _BEST.split(", ")])
+
+    return run
+
+
+def _salted(count: int, per_block: int, owner: Column) -> tuple[int, Column]:
+    blocks = max(1, -(-count // per_block))
+    return blocks, F.pmod(F.xxhash64(owner), F.lit(blocks)).cast("int")
+
+
+def best_by_category(history: DataFrame, books: DataFrame, recent: DataFrame | None = None, selected: Sequence[str] = (), per_category: int = PER_CATEGORY) -> DataFrame:
+    """(user_id, book_id, category, score): for each reader and category the best books not had before, of positive
+    score rounded to two decimals; ties by id.
+
+    Taste comes from the `recent` reads (all of them without a window); any read of `history` counts as had. With
+    `selected` tropes or tags only books with one of them are scored; the IDF is that of the whole catalogue.
     """
+    recent = history if recent is None else recent
     shown = profile.recommendable(books)
-    weights = profile.taste_weights(history, books).select("user_id", "kind", "feature", "weight")
-    idf = profile.idf(books).select("feature", "idf")
-    factor = F.when(F.col("kind") == "genre", KIND_WEIGHT["genre"]).when(F.col("kind") == "trope", KIND_WEIGHT["trope"] * F.coalesce("idf", F.lit(1.0))).otherwise(KIND_WEIGHT["tag"] * F.coalesce("idf", F.lit(1.0)))
-    alike = F.xxhash64(F.to_json(F.struct(F.array_sort("genres"), F.array_sort("tropes"), F.array_sort("tags"), "pacing", "spice_level", "focus")))
-    classed = shown.withColumn("class", alike)
-    kinds = classed.dropDuplicates(["class"]).withColumn("id", F.col("class"))
-    by_feature = profile.features(kinds).withColumnRenamed("book_id", "class").join(weights.join(idf, "feature", "left").select("user_id", "kind", "feature", (F.col("weight") * factor).alias("part")), ["kind", "feature"])
-    base = by_feature.groupBy("user_id", "class").agg(F.sum("part").alias("base"))
-
-    hist = profile.preference_histograms(history, books)
-    total = hist.filter("preference = 'pacing'").groupBy("user_id").agg(F.sum("n").alias("total"))
-    share = hist.join(total, "user_id", "left").select("user_id", F.struct("preference", "value").alias("k"), (F.col("n") / F.coalesce("total", F.lit(1))).alias("share"))
-    maps = share.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k.preference", "k.value"), "share"))).alias("shares"))
-    scored = base.join(kinds.select("class", "pacing", "spice_level", "focus"), "class").join(maps, "user_id", "left")
-    extra = sum((F.coalesce(F.try_element_at("shares", F.concat_ws("|", F.lit(k), F.col(c))), F.lit(0.0)) * PREFERENCE_WEIGHT[k] for k, c in (("pacing", "pacing"), ("spice", "spice_level"), ("focus", "focus"))), F.lit(0.0))
-    per_class = scored.select("user_id", "class", F.round(F.col("base") + extra, 6).alias("score")).filter("score > 0")
-    category = F.array_join(F.slice("genres", 1, 2), " · ")
-    return per_class.join(classed.select("class", F.col("id").alias("book_id"), category.alias("category")), "class").drop("class")
-
-
-def unread(scored: DataFrame, history: DataFrame) -> DataFrame:
-    read = history.filter("book_id IS NOT NULL").select("user_id", "book_id").distinct()
-    return scored.join(read, ["user_id", "book_id"], "left_anti")
-
-
-def diversified(scored: DataFrame, per_category: int = PER_CATEGORY, per_user: int = PER_USER) -> DataFrame:
-    """The best of each category, categories by their best score, and so many in all; ties by book."""
-    own = Window.partitionBy("user_id", "category").orderBy(F.desc("score"), "book_id")
-    ranked = scored.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= per_category)
-    ranked = ranked.withColumn("best", F.max("score").over(Window.partitionBy("user_id", "category")))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("best"), "category", "place"))
+    entries = _book_entries(shown, profile.idf(books))
+    if selected:
+        none = F.array().cast("array<string>")
+        mine = F.array_union(F.coalesce("tropes", none), F.transform(F.coalesce("tags", none), profile.canonical_tag))
+        shown = shown.filter(F.arrays_overlap(mine, F.array(*map(F.lit, selected))))
+    readers = _reader_entries(history, recent, books)
+    n_users, user_block = _salted(readers.agg(F.approx_count_distinct("owner")).first()[0], USERS_IN_BLOCK, F.col("owner"))
+    n_books, book_block = _salted(shown.count(), BOOKS_IN_BLOCK, F.col("owner"))
+    labels = shown.select(F.col("id").cast("long").alias("owner"), category(F.col("genres")).alias("label"))
+    users = readers.withColumn("label", F.lit("")).withColumn("block", user_block)
+    wares = entries.join(labels, "owner").withColumn("read", F.lit(None).cast("long")).withColumn("block", book_block)
+    columns = ["block", "owner", "label", "key", "value", "read"]
+    one = users.select(*columns).groupBy("block").applyInArrow(_pack, _PACKED)
+    two = wares.select(*columns).groupBy("block").applyInArrow(_pack, _PACKED)
+    one = one.select(*(F.col(c).alias(f"u_{c}") for c in one.columns), F.explode(F.sequence(F.lit(0), F.lit(n_books - 1))).alias("b_block"))
+    two = two.select(*(F.col(c).alias(f"b_{c}") for c in two.columns), F.explode(F.sequence(F.lit(0), F.lit(n_users - 1))).alias("u_block"))
+    found = one.join(two, ["u_block", "b_block"]).drop("u_block", "b_block").mapInArrow(_best(per_category), _BEST)
+    place = F.row_number().over(Window.partitionBy("user_id", "category").orderBy(F.desc("score"), "book_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= per_category)
+
+
+def diversified(ranked: DataFrame, per_user: int = PER_USER) -> DataFrame:
+    """Of best_by_category() so many in all: categories by their best score, then by its book."""
+    first = F.when(F.col("place") == 1, F.col("book_id"))
+    own = Window.partitionBy("user_id", "category")
+    ranked = ranked.withColumn("best", F.max("score").over(own)).withColumn("lead", F.max(first).over(own))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("best"), "lead", "place"))
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= per_user).select("user_id", "rank", "book_id", "category", "score")
 
 
-def recommend(history: DataFrame, books: DataFrame) -> DataFrame:
-    return diversified(unread(scores(history, books), history))
+def traits(chosen: DataFrame, weights: DataFrame, books: DataFrame) -> DataFrame:
+    """(user_id, book_id, shared): what a book shares with a reader's taste, at most IN_CHIPS, moods last and then by
+    weight; spellings of one trait count once, junk not at all."""
+    idf = profile.idf(books).select("feature", "idf")
+    some = books.join(chosen.select(F.col("book_id").alias("id")).distinct(), "id", "left_semi")
+    own = profile.features(some, junk=True).filter("kind <> 'genre'").distinct()
+    liked = chosen.select("user_id", "book_id").join(own, "book_id").join(weights.filter("weight > 0").select("user_id", "kind", "feature", "weight"), ["user_id", "kind", "feature"])
+    mood = (F.col("kind") == "tag") & F.col("feature").isin(*MOODS)
+    order = F.struct(mood.cast("int").alias("mood"), (-F.round(F.col("weight") * F.coalesce("idf", F.lit(1.0)), 6)).alias("w"), (F.col("kind") == "tag").cast("int").alias("tag"), "feature")
+    ranked = liked.join(idf, "feature", "left").filter(~is_junk_tag("feature")).select("user_id", "book_id", order.alias("o"), overlap_key(F.col("feature")).alias("key"))
+    once = ranked.groupBy("user_id", "book_id", "key").agg(F.min("o").alias("o"))
+    names = F.transform(F.slice(F.array_sort(F.collect_list("o")), 1, IN_CHIPS), lambda o: humanize(o["feature"]))
+    return once.groupBy("user_id", "book_id").agg(names.alias("shared"))
+
+
+def recommend(history: DataFrame, books: DataFrame, recent: DataFrame | None = None, selected: Sequence[str] = ()) -> DataFrame:
+    """(user_id, rank, book_id, title, author, score, category, genres, reason, chips) of each reader's recommendations."""
+    recent = history if recent is None else recent
+    chosen = diversified(best_by_category(history, books, recent, selected))
+    shared = traits(chosen, profile.taste_weights(recent, books), books)
+    about = books.select(F.col("id").alias("book_id"), "title", "author", "genres")
+    out = chosen.join(about, "book_id").join(shared, ["user_id", "book_id"], "left")
+    shared = F.coalesce("shared", F.array().cast("array<string>"))
+    reason = F.when(F.size(shared) > 0, F.concat(F.lit("Shares "), F.array_join(F.slice(shared, 1, IN_REASON), ", "), F.lit(" with your top-rated reads"))).otherwise(F.concat(F.lit("Strong "), F.coalesce(F.get("genres", F.lit(0)), F.lit("genre")), F.lit(" match")))
+    return out.select("user_id", "rank", "book_id", "title", "author", "score", "category", F.slice("genres", 1, GENRES_SHOWN).alias("genres"), reason.alias("reason"), F.slice(shared, 1, IN_CHIPS).alias("chips"))
+
+
+def served(recommendations: DataFrame, served_at: Column, window: str = "all", selected: Sequence[str] = ()) -> DataFrame:
+    """Log rows of recommendations: rec_id, user_id, book_id, score, reason and the cache's key (window, filters)."""
+    filters = ",".join(sorted(set(selected)))
+    return recommendations.select(
+        F.xxhash64("user_id", "book_id", F.lit(window), F.lit(filters), served_at).alias("rec_id"), "user_id", "rank", "book_id", "score", "reason", F.lit(window).alias("window"), F.lit(filters).alias("filters"), served_at.alias("served_at")
+    )
+
+
+def fresh(log: DataFrame, now: Column, window: str, selected: Sequence[str] = (), seconds: int = 1800) -> DataFrame:
+    """The newest served list of each reader for the window and filters, where it isn't older than `seconds`."""
+    filters = ",".join(sorted(set(selected)))
+    own = log.filter((F.col("window") == window) & (F.col("filters") == filters))
+    newest = own.withColumn("_newest", F.max("served_at").over(Window.partitionBy("user_id")))
+    young = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("served_at").cast("timestamp")) < seconds
+    return newest.filter((F.col("served_at") == F.col("_newest")) & young).drop("_newest")

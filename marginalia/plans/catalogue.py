@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import similarity, text
 from marginalia.operators import classify, lexical, metadata, staging, taxonomy
-from marginalia.plans.domain import BOOKS_SQL, books, table
+from marginalia.plans.domain import BOOKS_SQL, CANON_SQL, JUNK_SQL, SPICE_SQL, books, table
 from marginalia.plans.register import query
 from marginalia.sources.files import page_records
 
@@ -52,9 +52,12 @@ def parse_rating(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.parse_rating(raw).alias("value"))
 
 
-@query("canonical_tag", """WITH r AS (SELECT p_partkey, trim(regexp_replace(replace(regexp_replace(regexp_replace(lower(replace(p_name, ' ', '-') || '_' || p_size || '-39'), '([a-z])-([a-z])', '\\1 \\2', 'g'), '([a-z])-([a-z])', '\\1 \\2', 'g'), '_', ' '), '\\s+', ' ', 'g')) AS value FROM part) SELECT * FROM r""")
+_SPELT = "CASE p_partkey % 5 WHEN 0 THEN 'Slow-Burn  Romance' WHEN 1 THEN 'grumpy / sunshine' WHEN 2 THEN 'Sapphic_romance' ELSE replace(p_name, ' ', '-') || '_' || p_size || '-39' END"
+
+
+@query("canonical_tag", f"SELECT p_partkey, {CANON_SQL.format(_SPELT)} AS value FROM part")
 def canonical_tag(spark, d):
-    return _parts(spark, d, text.canonical_tag(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), F.col("p_size"), F.lit("-39"))))
+    return _parts(spark, d, text.canonical_tag(F.expr(_SPELT)))
 
 
 @query("humanize", "SELECT p_partkey, lower(regexp_replace(replace(p_name, ' ', 'X'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS value FROM part")
@@ -72,11 +75,12 @@ def normalize_raw(spark, d):
     return _parts(spark, d, text.normalize_raw(F.concat_ws("_", "p_name", F.lower("p_brand"))))
 
 
-@query("canonical_spice", """SELECT p_partkey, CASE WHEN s LIKE '%none%' THEN 'No Spice' WHEN s LIKE '%mild%' THEN 'Tame' WHEN s LIKE '%hot%' THEN 'Explicit' WHEN s LIKE '%medium%' THEN 'Medium Spice' ELSE 'N/A' END AS value
-  FROM (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'None' WHEN 1 THEN 'Mild heat' WHEN 2 THEN 'medium hot' WHEN 3 THEN 'Medium' WHEN 4 THEN '' END AS raw, lower(coalesce(raw, '')) AS s FROM part)""")
+_HEAT = "CASE p_size % 9 WHEN 0 THEN 'None' WHEN 1 THEN 'Mild heat, later HOT' WHEN 2 THEN 'low to medium' WHEN 3 THEN 'Fade to black' WHEN 4 THEN '' WHEN 5 THEN 'Closed door' WHEN 6 THEN 'no spice' WHEN 7 THEN 'Average' END"
+
+
+@query("canonical_spice", f"SELECT p_partkey, {SPICE_SQL.format('(' + _HEAT + ')')} AS value FROM part")
 def canonical_spice(spark, d):
-    k = F.col("p_size") % 6
-    return _parts(spark, d, text.canonical_spice(F.when(k == 0, "None").when(k == 1, "Mild heat").when(k == 2, "medium hot").when(k == 3, "Medium").when(k == 4, "")))
+    return _parts(spark, d, text.canonical_spice(F.expr(_HEAT)))
 
 
 @query("first_year", "SELECT o_orderkey, CAST(year(CAST(o_orderdate AS DATE)) AS INT) AS value FROM orders")
@@ -89,9 +93,9 @@ def format_author(spark, d):
     return _parts(spark, d, text.format_author(F.concat(F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(", 1819-1891"))))
 
 
-@query("junk_filter", f"{WITH}, t AS (SELECT id, unnest(list_concat(tags, ['to-read', '5 stars', 'my shelf'])) AS tag FROM books) SELECT id, tag FROM t WHERE tag NOT IN ('to-read') AND NOT regexp_matches(tag, 'star|shelf|read in')")
+@query("junk_filter", f"{WITH}, t AS (SELECT id, unnest(list_concat(tags, ['TBR 2020', 'audiobook', 'Audiobook club', 'to-read'])) AS tag FROM books) SELECT id, tag FROM t WHERE NOT {JUNK_SQL.format('tag')}")
 def junk_filter(spark, d):
-    t = books(spark, d).select("id", F.explode(F.concat("tags", F.array(F.lit("to-read"), F.lit("5 stars"), F.lit("my shelf")))).alias("tag"))
+    t = books(spark, d).select("id", F.explode(F.concat("tags", F.array(*map(F.lit, ("TBR 2020", "audiobook", "Audiobook club", "to-read"))))).alias("tag"))
     return t.filter(~text.is_junk_tag("tag"))
 
 
@@ -157,9 +161,9 @@ def taxonomy_census(spark, d):
     return _vocabulary(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("usage_with_zero", f"{WITH}, {_VOCAB}, u AS (SELECT unnest(tropes) AS slug FROM books WHERE genres[1] = 'ECONOMY') SELECT v.slug, count(u.slug) AS n FROM vocabulary v LEFT JOIN u ON u.slug = v.slug GROUP BY v.slug")
+@query("usage_with_zero", f"{WITH}, {_VOCAB}, u AS (SELECT unnest(tropes) AS slug FROM books) SELECT v.slug, count(u.slug) AS n FROM vocabulary v LEFT JOIN u ON u.slug = v.slug GROUP BY v.slug")
 def usage_with_zero(spark, d):
-    used = books(spark, d).filter(F.get("genres", F.lit(0)) == "ECONOMY").select(F.explode("tropes").alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
+    used = books(spark, d).select(F.explode("tropes").alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
     return _vocabulary(spark, d).select("slug").join(used, "slug", "left").select("slug", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -189,10 +193,10 @@ def tag_evidence_genres(spark, d):
 _ONE, _TWO = ("the", "and"), ("that", "with", "from")
 
 
-@query("class_score_regex", """WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|and)\\b')) - len(regexp_extract_all(text, '(?i)\\b(that|with|from)\\b')) AS d FROM documents WHERE lang = 'en')
+@query("class_score_regex", """WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|and)\\b')) - len(regexp_extract_all(text, '(?i)\\b(that|with|from)\\b')) AS d FROM documents)
   SELECT doc_id, CASE WHEN d >= 2 THEN 'plain' WHEN d <= -2 THEN 'bound' ELSE 'unsure' END AS book_class FROM s""")
 def class_score_regex(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", classify.margin_class(F.col("text"), _ONE, _TWO, ("plain", "bound")).alias("book_class"))
+    return table(spark, d, "documents").select("doc_id", classify.margin_class(F.col("text"), _ONE, _TWO, ("plain", "bound")).alias("book_class"))
 
 
 @query("lang_archive", None)
@@ -216,11 +220,11 @@ def doubt_score(spark, d):
 PACK = [lexical.Pattern("relative", "A", r"\bthat\b"), lexical.Pattern("company", "A", r"\bwith (the|an?)\b"), lexical.Pattern("pointing", "B", r"\bthis\b"), lexical.Pattern("origin", "B", r"\bfrom\b")]
 _PACK = """m AS (SELECT doc_id AS id, p.ord, p.slug, p.tier, regexp_extract(text, '(?i)' || p.regex, 0) AS phrase FROM documents,
   (VALUES (0, 'relative', 'A', '\\bthat\\b'), (1, 'company', 'A', '\\bwith (the|an?)\\b'), (2, 'pointing', 'B', '\\bthis\\b'), (3, 'origin', 'B', '\\bfrom\\b')) p(ord, slug, tier, regex)
-  WHERE lang = 'en' AND regexp_matches(text, '(?i)' || p.regex))"""
+  WHERE regexp_matches(text, '(?i)' || p.regex))"""
 
 
 def _pack_rows(spark, d):
-    return lexical.match_rows(table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text"), PACK)
+    return lexical.match_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), PACK)
 
 
 @query("lexical_pack", f"WITH {_PACK} SELECT id, CAST(ord AS INT) AS ord, slug, tier, phrase FROM m")
@@ -294,9 +298,9 @@ def dup_key_report(spark, d):
     return metadata.shared_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("p")), "k", "p")
 
 
-@query("metadata_by_source", "WITH m AS (SELECT doc_id // 10 AS id, source, min(n_chars) AS v FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY ALL) SELECT id, coalesce(max(v) FILTER (source = 'src2'), max(v) FILTER (source = 'src1'), max(v) FILTER (source = 'src3')) AS v FROM m GROUP BY id")
+@query("metadata_by_source", "WITH m AS (SELECT doc_id // 10 AS id, source, min(n_chars) AS v FROM documents GROUP BY ALL) SELECT id, coalesce(max(v) FILTER (source = 'src2'), max(v) FILTER (source = 'src1'), max(v) FILTER (source = 'src3')) AS v FROM m GROUP BY id")
 def metadata_by_source(spark, d):
-    m = table(spark, d, "documents").filter(F.col("source").isin("src1", "src2", "src3")).groupBy(F.floor(F.col("doc_id") / 10).alias("id"), "source").agg(F.min("n_chars").alias("v"))
+    m = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 10).alias("id"), "source").agg(F.min("n_chars").alias("v"))
     return metadata.by_source(m, ["src2", "src1", "src3"], "v")
 
 
@@ -329,7 +333,7 @@ def latin_share(spark, d):
     return table(spark, d, "documents").select("doc_id", text.latin_share("text").alias("value")).filter("value IS NOT NULL")
 
 
-@query("array_union_ci", f"{WITH} SELECT id, tags[1] || '|' || tags[2] || '|' || tags[3] || '|extra' AS tags FROM books")
+@query("array_union_ci", f"{WITH} SELECT id, array_to_string(list_append(tags, 'extra'), '|') AS tags FROM books")
 def array_union_ci(spark, d):
     b = books(spark, d)
     return b.select("id", F.array_join(text.union_by_key(F.col("tags"), F.concat(F.transform("tags", F.upper), F.array(F.lit("extra"), F.lit("Extra ")))), "|").alias("tags"))
