@@ -4,7 +4,8 @@ Documents become pieces of at most `capacity` tokens. Pieces are dealt to partit
 decreasing. Dual-feasible functions give a lower bound on each partition's number of bins: a partition that meets its
 bound, and whose bound is its volume's, is certified and done. In any other the bins that are filled to the last token
 stay; the pieces of the other bins meet those of other partitions with gaps in fewer, larger partitions and are packed
-again, until the bins left over meet the bound of all their pieces together or a single partition is left.
+again, until the bins left over meet the bound of all their pieces together, or no exchange saves one any more; what no
+bound certifies is marked.
 """
 
 from __future__ import annotations
@@ -81,9 +82,10 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bin and offset of each piece, and the number of bins. A piece goes to the fullest bin that takes it."""
-    order = np.argsort(-lengths, kind="stable")
+def best_fit_decreasing(lengths: np.ndarray, capacity: int, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bin and offset of each piece, and the number of bins. A piece goes to the fullest bin that takes it; pieces come by
+    their length, or by the key where there is one."""
+    order = np.argsort(-lengths if key is None else -key, kind="stable")
     place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     free: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_, bins = 0, 0  # open_: bit r is set when a bin has r tokens free
@@ -109,14 +111,27 @@ PACKED = PIECES + ", round int, part long, bin long, offset long, settled boolea
 _PACKED = pa.schema([*_PIECES, ("round", pa.int32()), ("part", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("settled", pa.bool_())])
 
 
-def _pack_round(todo: DataFrame, number: int, capacity: int, last: bool) -> DataFrame:
+def packed_best(lengths: np.ndarray, capacity: int, tries: int = 8) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Best-fit decreasing, and where it misses the lower bound the best of some runs with the order of like lengths
+    changed a little: bin, offset, number of bins, and whether the bound certifies that none can be saved."""
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    best = best_fit_decreasing(lengths, capacity)
+    rng = np.random.default_rng(len(lengths))
+    for k in range(tries):
+        if best[2] <= bound:
+            break
+        shift = rng.integers(0, 2 + (k << 4), len(lengths))
+        best = min(best, best_fit_decreasing(lengths, capacity, lengths + shift), key=lambda x: x[2])
+    return (*best, best[2] <= bound)
+
+
+def _pack_round(todo: DataFrame, number: int, capacity: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
         lengths = table["length"].to_numpy()
-        place, offset, bins = best_fit_decreasing(lengths, capacity)
+        place, offset, bins, least = packed_best(lengths, capacity)
         filled = np.bincount(place, weights=lengths, minlength=bins)
-        volume = -(-int(lengths.sum()) // capacity)
-        done = last or bins <= volume and volume == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        done = least and bins <= -(-int(lengths.sum()) // capacity)
         settled = np.full(len(lengths), True) if done else filled[place] == capacity
         n = len(lengths)
         new = [pa.array(np.full(n, number, np.int32)), table["part"].cast(pa.int64()), pa.array(place), pa.array(offset), pa.array(settled)]
@@ -125,41 +140,42 @@ def _pack_round(todo: DataFrame, number: int, capacity: int, last: bool) -> Data
     return todo.groupBy("part").applyInArrow(run, PACKED)
 
 
-def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 60_000, rounds: int = 8) -> DataFrame:
-    """Pieces with sequence_id and offset; items as from pieces(). per_partition bounds what one task packs; it doubles
-    with each exchange, up to 16 times."""
+def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 60_000, most: int = 960_000) -> DataFrame:
+    """Pieces with sequence_id, offset and `certified`; items as from pieces(). per_partition is what one task packs at
+    first; it doubles with each exchange, up to `most`, which a task's memory bounds. Exchanges go on until the bins left
+    over are certified, a single partition holds them, or, with full tasks, an exchange has saved no bin. Pieces of bins
+    that no bound certifies have certified = false, so a gap shows in the result."""
     items = stored(items, "pieces")
-    total = items.count()
-    todo, done = items, []
-    for number in range(rounds):
-        n = partitions(items.sparkSession, total, per_partition * min(16, 2**number))
-        last = n == 1 or number == rounds - 1
+    total, todo, done, number, before = items.count(), items, [], 0, None
+    while True:
+        per = min(most, per_partition << number)
+        n = partitions(items.sparkSession, total, per)
         keyed = todo.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", F.lit(number)), F.lit(n)).cast("int"))
-        out = stored(_pack_round(keyed, number, capacity, last), f"packed{number}")
-        done.append(out.filter("settled"))
-        if last:
-            break
+        out = stored(_pack_round(keyed, number, capacity), f"packed{number}")
+        done.append(out.filter("settled").withColumn("certified", F.lit(True)))
         gaps = out.filter("not settled")
         count = np.zeros(capacity + 1, np.int64)
         for r in gaps.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
             count[r["length"]] = r["n"]
-        total = int(count.sum())
-        bins = gaps.select("part", "bin").distinct().count()
-        if bins <= lower_bound(count, capacity):
-            done[-1] = out  # certified together: no exchange can save a bin
+        total, bins = int(count.sum()), gaps.select("part", "bin").distinct().count()
+        certified = bins <= lower_bound(count, capacity)
+        stuck = n == 1 or per == most and before is not None and bins >= before
+        if certified or stuck:
+            done.append(gaps.withColumn("certified", F.lit(certified)))  # certified together: no exchange can save a bin
             break
-        todo = gaps.select(*_PIECES.names)
+        todo, before, number = gaps.select(*_PIECES.names), bins, number + 1
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)
     sequence = F.shiftleft(F.col("round").cast("long"), 58) + F.shiftleft(F.col("part"), 32) + F.col("bin")
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset", "certified")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Packs whole documents; see pieces() and pack().
 
-    A null or empty text is a document of the end id alone. Rows that repeat an id are packed each for itself. An empty
-    table gives no rows. Columns other than doc_id and text aren't read.
+    A null or empty text is a document of the end id alone. Rows that repeat an id are packed each for itself; pieces of
+    equal length are alike, and their ids and starts order them. A text of any length is encoded whole and cut after. An
+    empty table gives no rows. Columns other than doc_id and text aren't read.
     """
     return pack(pieces(docs, ranks_path, pattern, capacity, end_id), capacity)
