@@ -11,32 +11,38 @@ from marginalia.session import importable
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that the model tells, go."""
+    """Documents without a letter (null and empty texts among them), or in no language that the model tells, go; every
+    other row stays, with its columns. Rows that repeat an id are judged each by its text. An empty table gives no
+    rows."""
     importable(spark)
     return langid.identified(docs, langid.train(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, null ids lowest; of rows that repeat id and text one. Rows
+    that share an id only are other documents. Columns of any name are carried along; an empty table gives no rows."""
     importable(spark)
     return exact_dedup.without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the smallest doc_id stays. The stage is operator 8, with that query's
-    definition of a link: four words and 85 %."""
+    """Of each component of linked documents the row of the smallest doc_id stays, null ids last. The stage is operator
+    8, with that query's definition of a link: four words and 85 %. Rows without words stay, as do rows that share an id
+    with a row that goes but aren't linked with it. Columns of any name are carried along; an empty table gives no
+    rows."""
     importable(spark)
     return ngram_jaccard.without_near_copies(docs, width=4, percent=85)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of all that stayed."""
+    """Packed pieces of all that stayed; rows that repeat an id are packed each for itself, a null text as its end
+    alone. An empty table gives no rows."""
     importable(spark)
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), capacity=1024, end_id=2)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_copies), ("ngram_jaccard", near_copies), ("best_fit_packing", best_fit)]
-#: SQL can express neither the trained model nor the tokenizer; tests compare with a brute-force version.
+#: SQL can express neither the trained model nor the tokenizer; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 

@@ -10,9 +10,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.session import importable
 
@@ -144,36 +146,62 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-#: Of the bitmap, whatever the number of its members: 8 MB.
-MAP_BITS = 26
+#: Bits of a bitmap for each of its members, and the most that one has: 128 MB, reached with some 10 ** 8 members. Beyond
+#: that it fills up and rules out less, and what it doesn't rule out is still joined exactly.
+MAP_SHARE, MAP_MOST = 8, 30
+_PIECE = 19  # bits of 64 KB, made by one task
 
 
 def bitmap(nodes: DataFrame) -> bytes:
-    """Bit of every 64-bit hash in the first column, in a bitmap of 2 ** MAP_BITS bits; made on the executors in pieces of
-    64 KB. A hash without its bit is not a member; with many members the bitmap fills and rules out less."""
-    piece = 19
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(U64) >> U64(64 - MAP_BITS)] = True
-        for k in range(1 << (MAP_BITS - piece)):
-            own = bits[k << piece : (k + 1) << piece]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["k", "bits"])
-
-    def join(table: pa.Table) -> pa.Table:
-        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
-        return pa.table([pa.array([table["k"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "bits"])
-
-    out = bytearray(1 << (MAP_BITS - 3))
-    marked = nodes.coalesce(16).mapInArrow(mark, "k int, bits binary")
-    for r in marked.groupBy("k").applyInArrow(join, "k int, bits binary").collect():
-        out[r["k"] << (piece - 3) : (r["k"] + 1) << (piece - 3)] = r["bits"]
+    """Bit of every 64-bit hash in the first column, in a bitmap of a size that follows the number of rows. Pieces are
+    made on the executors, each from the hashes that fall to it. A hash without its bit is not a member."""
+    column = F.col(nodes.columns[0])
+    bits = min(MAP_MOST, max(_PIECE, (MAP_SHARE * max(nodes.count(), 1) - 1).bit_length()))
+
+    def mark(table: pa.Table) -> pa.Table:
+        own = np.zeros(1 << _PIECE, bool)
+        own[(table["h"].to_numpy().view(U64) >> U64(64 - bits)) & U64((1 << _PIECE) - 1)] = True
+        return pa.table([table["k"][:1].cast(pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["k", "bits"])
+
+    piece = F.shiftrightunsigned(column, 64 - (bits - _PIECE)).cast("int") if bits > _PIECE else F.lit(0)
+    out = bytearray(1 << (bits - 3))
+    for r in nodes.filter(column.isNotNull()).select(piece.alias("k"), column.alias("h")).groupBy("k").applyInArrow(mark, "k int, bits binary").collect():
+        out[r["k"] << (_PIECE - 3) : (r["k"] + 1) << (_PIECE - 3)] = r["bits"]
     return bytes(out)
 
 
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash has its bit."""
-    place = hashes.view(U64) >> U64(64 - MAP_BITS)
+    place = hashes.view(U64) >> U64(64 - (8 * len(bits)).bit_length() + 1)
     return ((bits[(place >> U64(3)).astype(np.int64)] >> (U64(7) - (place & U64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64-bit hash of a row's id and text; a null text counts as empty."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with their own columns, that don't go. gone: (doc_id, key, stays), each key once, with key as
+    from row_key(); of the rows of a key none is left, or where it stays one.
+
+    Helper columns have names of their own that no table has. A bitmap of the keys is broadcast, so texts of rows that
+    certainly stay aren't shuffled.
+    """
+    mark = uuid.uuid4().hex
+    key, key_, id_, stays = (f"{x}_{mark}" for x in ("key", "of", "id", "stays"))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("stays").alias(stays))
+    members = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(key_)))
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(np.frombuffer(members.value, np.uint8), hashes.to_numpy(np.int64)))
+
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    some = keyed.filter(may(key)).join(gone, (F.col(key) == F.col(key_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left")
+    once = some.filter(F.col(stays)).dropDuplicates([key, id_])
+    return keyed.filter(~may(key)).select(*_names(docs)).unionByName(some.filter(F.col(stays).isNull()).select(*_names(docs))).unionByName(once.select(*_names(docs)))
+
+
+def _names(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]

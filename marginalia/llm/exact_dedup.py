@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import partitions, stored
+from marginalia.llm.common import partitions, row_key, stored, without
 
 SLOTS, MAX_KICKS = 4, 200
 
@@ -159,8 +159,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, digest, uid) of every row; uid tells repeated rows apart and is fixed in the stored table."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"))
+    """(doc_id, digest, key, uid) of every row; uid tells repeated rows apart and is fixed in the stored table."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("digest"), row_key(F.col(doc_id), F.col(text)).alias("key"))
     return stored(rows.withColumn("uid", F.monotonically_increasing_id()), "digests")
 
 
@@ -179,6 +179,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     stays; a null doc_id is below every other; of rows that repeat id and text one stays. An empty table gives no rows.
     Other columns aren't read, whatever their names.
     """
+    return _grouped(docs, text, doc_id).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     rows = digests(docs, text, doc_id)
     copies = index(rows).filter("group_size > 1").select(F.col("digest").alias("of"), F.col("doc_id").alias("best"), F.col("uid").alias("best_uid"), "group_size")
     return rows.join(copies, F.col("digest") == F.col("of"), "left").select(
@@ -186,20 +190,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("best")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("of").isNull() | (F.col("uid") == F.col("best_uid"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+        "digest", "key",
+    )
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns."""
-    found = exact_dedup(docs)
-    gone = found.filter(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_digest"))
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    match = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_digest"))
-    left = docs.join(gone, match, "left_anti")
-    repeated = found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_digest")).distinct()
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, match, "left_semi").withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return left.join(repeated, match, "left_anti").unionByName(once)
+    """The rows of docs that stay, with their own columns, whatever their names: of equal texts one row, that of the
+    largest doc_id, null ids lowest; null counts as empty. Rows that repeat an id with another text are other documents.
+    An empty table gives no rows."""
+    gone = _grouped(docs).filter("group_size > 1").groupBy("doc_id", "key").agg(F.count_if(~F.col("kept")).alias("less"), F.bool_or("kept").alias("stays")).filter("less > 0")
+    return without(docs, stored(gone.select("doc_id", "key", "stays"), "gone"))

@@ -6,11 +6,12 @@ group of two linked sets is equal: every node sends the hash of each of its grou
 Sizes are cut into levels with their own number of groups, and a node takes part in each level that a partner's size can
 reach. A node with too few groups that hold anything also sends the shingles of least hash, as a prefix filter does.
 
-The meeting nodes form runs. A run's nodes are points in an R-tree, with the numbers of shingles by hash group as
-coordinates; the overlap of two is bounded by the sum of coordinate minima. First each node of a run is verified, on the
-whole sets, with the one of the highest bound, and components follow. Only runs that still span several components are
-searched once more, for every pair of different components whose bound reaches the threshold; survivors are verified.
-So no link between components is lost, and copies are never expanded into all pairs.
+The meeting nodes form runs. A run's nodes are points in R-trees, with the numbers of shingles by hash group as
+coordinates; the overlap of two is bounded by the sum of coordinate minima, and that of a point and all points of a tree's
+node by their coordinate maxima. First each node of a run is verified, on the whole sets, with the one of its tree that
+has the highest bound, and components follow. Only runs that still span several components are searched once more, for
+every pair of different components whose bound reaches the threshold; survivors are verified. So no link between
+components is lost, and copies are never expanded into all pairs. A large run is dealt to several trees, a task each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import FOLD, U64, bitmap, buffers, in_bitmap, mix, span_hashes, steps, stored, word_spans
+from marginalia.llm.common import FOLD, U64, bitmap, buffers, in_bitmap, mix, row_key, span_hashes, steps, stored, without, word_spans
 from marginalia.llm.graph import components
 
 GROUPS = 256  # coordinates of a count vector
@@ -114,14 +115,14 @@ def counts(raw: bytes) -> np.ndarray:
 
 
 def _sets(width: int):
-    names = ["doc_id", "n", "node", "counts"]
+    names = ["doc_id", "key", "n", "node", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            off = buffers(batch.column(1))[1]
+            off = buffers(batch.column(2))[1]
             for i, j in steps(off):
-                sets, at = shingle_sets(batch.column(1).slice(i, j - i), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(node_ids(sets, at)), pa.array([vector(sets[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names)
+                sets, at = shingle_sets(batch.column(2).slice(i, j - i), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at)), pa.array(node_ids(sets, at)), pa.array([vector(sets[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary())], names)
 
     return run
 
@@ -288,23 +289,22 @@ class RTree:
             now = at[fitting(point, high[at], least[at], percent)]
 
 
-def _search(percent: int, nearest: bool, direct: int = 1024):
-    """Pairs of a run's nodes in different components whose bound reaches the threshold: for each node the one with the
-    highest bound, or all. Nodes of the run's largest component are found by the others and don't search themselves. Up
-    to `direct` nodes are bounded without a tree."""
+def _search(percent: int, nearest: bool):
+    """Pairs of a probe and a point of a leaf's run in different components whose bound reaches the threshold, by an R-tree
+    over the leaf's points: for each probe the point of highest bound, or all."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, label = table["node"].to_numpy(), table["label"].to_numpy()
-        points = np.array([counts(x) for x in table["counts"].to_pylist()])
-        if points.max(initial=0) < 1 << 15:
-            points = points.astype(np.int16)
-        sizes, tree, a, b = points.sum(1, dtype=np.int64), RTree(points) if len(ids) > direct else None, [], []
-        values, place, many = np.unique(label, return_inverse=True, return_counts=True)
-        for k in np.flatnonzero(place != many.argmax()).tolist() if many.max() > 1 else range(len(ids)):
-            found = np.flatnonzero(fitting(points[k], points, sizes, percent)) if tree is None else tree.search(points[k], percent)
+        vectors = np.array([counts(x) for x in table["counts"].to_pylist()])
+        if vectors.max(initial=0) < 1 << 15:
+            vectors = vectors.astype(np.int16)
+        rows, a, b = np.flatnonzero(table["point"].to_numpy(zero_copy_only=False)), [], []
+        tree = RTree(vectors[rows]) if len(rows) else None
+        for k in np.flatnonzero(table["probe"].to_numpy(zero_copy_only=False)).tolist() if len(rows) else ():
+            found = rows[tree.search(vectors[k], percent)]
             found = found[label[found] != label[k]]
             if nearest and len(found) > 1:
-                near = np.minimum(points[k], points[found]).sum(1, dtype=np.int64) / (sizes[k] + sizes[found])
+                near = np.minimum(vectors[k], vectors[found]).sum(1, dtype=np.int64) / (vectors[k].sum(dtype=np.int64) + vectors[found].sum(1, dtype=np.int64))
                 found = found[[near.argmax()]]
             a.append(np.minimum(ids[found], ids[k]))
             b.append(np.maximum(ids[found], ids[k]))
@@ -314,48 +314,75 @@ def _search(percent: int, nearest: bool, direct: int = 1024):
     return run
 
 
-def _candidates(runs: DataFrame, vectors: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of the runs (run, node, label) that don't lie in one component."""
-    split = runs.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("run")
-    own = runs.join(split, "run", "left_semi").join(vectors, "node")
-    return own.groupBy("run").applyInArrow(_search(percent, nearest), "a long, b long").distinct()
+def _candidates(runs: DataFrame, vectors: DataFrame, percent: int, nearest: bool, leaf_nodes: int) -> DataFrame:
+    """Pairs (a, b) of the runs (run, node, label) that don't lie in one component.
 
-
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, per_part: int = 2_000_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
-
-    Words are runs without ASCII white space, A-Z in lower case. Fewer than `width` words are one shingle; a null text or
-    one without words has none, links with nothing and is its own component. Two documents link when 100 * intersection
-    >= percent * union of their distinct shingles; component_id is the smallest doc_id that links lead to, the row's own
-    included (null ids count for nothing). Repeated rows have equal sets and so one component. An empty table gives no
-    rows. Columns other than doc_id and text aren't read.
+    A run is dealt to leaves of about leaf_nodes nodes, a task each. Of every pair of components one isn't the run's
+    largest: nodes of the largest are points only, the others also probe every leaf of the run. When only the nearest
+    are asked for, all nodes probe their own leaf.
     """
+    split = runs.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high")
+    placed = runs.join(split.select("run", F.ceil(F.col("n") / leaf_nodes).cast("int").alias("leaves")), "run")
+    placed = placed.withColumn("leaf", F.pmod(F.xxhash64("node", F.lit(1)), F.col("leaves")).cast("int"))
+    if nearest:
+        dealt = placed.select("run", "leaf", "node", "label", F.lit(True).alias("point"), F.lit(True).alias("probe"))
+    else:
+        many = placed.groupBy("run", "label").agg(F.count("*").alias("n")).groupBy("run").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        other = placed.join(many, "run").withColumn("probe", F.col("label") != F.col("main"))
+        dealt = other.select("run", "leaf", "node", "label", F.lit(True).alias("point"), "probe")
+        away = other.filter(F.col("probe") & (F.col("leaves") > 1)).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))).filter("to != leaf")
+        dealt = dealt.unionByName(away.select("run", F.col("to").alias("leaf"), "node", "label", F.lit(False).alias("point"), F.lit(True).alias("probe")))
+    return dealt.join(vectors, "node").groupBy("run", "leaf").applyInArrow(_search(percent, nearest), "a long, b long").distinct()
+
+
+def _components(docs: DataFrame, width: int, percent: int, per_part: int, leaf_nodes: int) -> DataFrame:
+    """(doc_id, key, n, label) of every row: the shingles' number and the component, a node's id; 0 for none."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(docs.mapInArrow(_sets(width), "doc_id long, n long, node long, counts binary"), "sets")
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    sets = stored(keyed.mapInArrow(_sets(width), "doc_id long, key long, n long, node long, counts binary"), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (3 * per_part)))
     sent = docs.select("text").mapInArrow(_send(width, percent, parts), "part int, blob binary")
     runs = stored(sent.groupBy("part").applyInArrow(_meet, "run long, node long").dropDuplicates(["run", "node"]), "runs")
     involved = runs.select("node").distinct()
     vectors = stored(sets.filter("n > 0").select("node", "counts").join(involved, "node", "left_semi").dropDuplicates(["node"]), "vectors")
-    near = stored(_candidates(runs.withColumn("label", F.col("node")), vectors, percent, True), "near")
+    near = stored(_candidates(runs.withColumn("label", F.col("node")), vectors, percent, True, leaf_nodes), "near")
     links = stored(verified(near, docs, width, percent), "links")
     labels = components(links)
     labelled = runs.join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
-    more = stored(_candidates(labelled, vectors, percent, False).join(near, ["a", "b"], "left_anti"), "more")
+    more = stored(_candidates(labelled, vectors, percent, False, leaf_nodes).join(near, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         extra = stored(verified(more, docs, width, percent), "links")
         if not extra.isEmpty():
             labels = components(links.unionByName(extra))
-    named = sets.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
+    return sets.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("doc_id", "key", "n", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, per_part: int = 2_000_000, leaf_nodes: int = 1024) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
+
+    Words are runs without ASCII white space, A-Z in lower case. Fewer than `width` words are one shingle; a null text or
+    one without words has none, links with nothing and is its own component. Two documents link when 100 * intersection
+    >= percent * union of their distinct shingles; component_id is the smallest doc_id that links lead to, the row's own
+    included (null ids count for nothing). Repeated rows have equal sets and so one component. A text of any length is
+    one set, made as a whole. An empty table gives no rows. Columns other than doc_id and text aren't read.
+    """
+    named = _components(docs, width, percent, per_part, leaf_nodes)
     least = named.filter("n > 0").groupBy(F.col("label").alias("_label")).agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).filter("many > 1")
     return named.join(least, F.col("label") == F.col("_label"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
-def without_near_copies(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with their own columns; ids are taken as keys."""
-    gone = jaccard_components(docs, width, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def without_near_copies(docs: DataFrame, width: int = 4, percent: int = 85, per_part: int = 2_000_000, leaf_nodes: int = 1024) -> DataFrame:
+    """The rows of docs that stay, with their own columns, whatever their names: of each component one row, that of the
+    smallest doc_id, null ids last; of rows that repeat it one. Rows are told apart by id and text, so rows that repeat
+    an id in other components stay. Rows without words link with nothing and stay. An empty table gives no rows."""
+    named = _components(docs, width, percent, per_part, leaf_nodes).filter("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
+    many = named.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("many")).filter("many > 1").withColumnRenamed("label", "_label")
+    grouped = named.join(many, F.col("label") == F.col("_label"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    gone = grouped.select("doc_id", "key", stays.alias("stays")).groupBy("doc_id", "key").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1")
+    return without(docs, stored(gone.select("doc_id", "key", "stays"), "gone"))

@@ -113,15 +113,27 @@ def test_rtree_finds_what_the_bound_allows():
         assert sorted(tree.search(points[k], 85).tolist()) == want.tolist()
 
 
-def test_runs_above_the_direct_limit_find_the_same_pairs():
-    """A run of over 1,024 nodes, through the R-tree, gives the pairs that bounding every node directly gives."""
-    rng = np.random.default_rng(9)
-    points = rng.poisson(1.0, (1100, ngram_jaccard.GROUPS))
-    points[1::2] = points[::2] + (rng.random((550, ngram_jaccard.GROUPS)) < 0.05)
-    run = pa.table({"node": np.arange(1100), "label": np.arange(1100), "counts": [x.astype("<u2").tobytes() for x in points]})
-    for nearest in (True, False):
-        found = ngram_jaccard._search(85, nearest)(run)
-        assert found.num_rows >= 550 and found.equals(ngram_jaccard._search(85, nearest, direct=1100)(run))
+def test_runs_of_several_leaves(spark):
+    """Links of a run that is dealt to several R-trees, found as in brute force: chains of near copies in a hot group."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        own = base[:]
+        for at in rng.sample(range(120), rng.choice([1, 1, 2, 5, 6])):
+            own[at] = f"x{rng.randint(0, 40)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[k : k + 4]) for k in range(117)} for w in map(str.split, texts)]
+    label = list(range(60))
+    for _ in texts:
+        for a in range(60):
+            for b in range(60):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert 2 < len(set(label)) < 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for leaf in (5, 1024):
+        assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(df, leaf_nodes=leaf).collect()} == dict(enumerate(label))
 
 
 def test_packing(docs, texts):
@@ -357,19 +369,99 @@ def test_empty_tables(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+def near_groups(rows):
+    """Components of (id, text) rows by brute force, as lists of places."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if label[a] != label[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    groups = collections.defaultdict(list)
+    for k, g in enumerate(label):
+        groups[g].append(k)
+    return list(groups.values())
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, docs, texts):
+    """Every stage on its predecessor's rows, with ids that repeat, against plain Python; language ID against its
+    operator, row by row, and the letters of the texts."""
+    import corpus_pipeline
+
+    more = [(3, texts[40]), (7, "a wholly different text of several words"), (1, texts[1]), (None, texts[2]), (12, texts[2] + " tail")]
+    rows = [(i, t) for i, t in enumerate(texts)] + more
+    spark.createDataFrame([(i, t, "en", "s", 1, "k", "n", "p", "h") for i, t in rows], SCHEMA).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
+
+    def after(df, stage):
+        out = stage(spark, df, str(tmp_path)).cache()
+        return out, sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key)
+
+    stages = dict(corpus_pipeline.STAGES)
+    out, left = after(now, stages["language_id"])
+    assert out.columns == now.columns and all(re.search(r"[^\W\d_]", t or "") for _, t in left) and set(left) <= set(rows)
+    verdicts = langid.identify(now, langid.train(now)).filter("lang_pred <> 'und'").filter(F.col("score") >= langid.REJECT)
+    assert len(left) == verdicts.count()
+
+    out, got = after(out, stages["exact_dedup"])
+    best = {}
+    for r in left:
+        best[r[1]] = max(best.get(r[1], r), r, key=key)
+    assert out.columns == now.columns and got == sorted(best.values(), key=key)
+
+    left, (out, got) = got, after(out, stages["ngram_jaccard"])
+    want = [min((left[k] for k in g), key=lambda x: (x[0] is None, x[0] or 0)) if words(left[g[0]][1]) else left[g[0]] for g in near_groups(left)]
+    assert out.columns == now.columns and len(got) == len(want) and sorted(x[0] or -1 for x in got) == sorted(x[0] or -1 for x in want)
+
+    run = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert sorted(r["length"] for r in run) == sorted(n for _, x in got for _, n in packing.cut(len(t.encode(x, add_special_tokens=False).ids) + 1, 1024))
+    bins = collections.Counter()
+    for r in run:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 1024
+
+
+def test_near_stage_keeps_other_rows_of_an_id(spark):
+    """Of (1, A), (7, near copy of A) and (7, another text) the last stays, whatever other columns are named."""
+    base = [f"word{k}" for k in range(100)]
+    rows = [(1, " ".join(base), 1, 2, 3, 4), (7, " ".join([*base[:99], "end"]), 1, 2, 3, 4), (7, "another text of a few words", 5, 6, 7, 8), (None, " ".join(base), 1, 1, 1, 1), (9, "", 1, 1, 1, 1), (9, None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _gone_id int, _digest int, key int")
+    left = ngram_jaccard.without_near_copies(df)
+    assert left.columns == df.columns and {tuple(r) for r in left.collect()} == {rows[0], rows[2], rows[4], rows[5]}
+
+
+def test_exact_stage_with_clashing_columns(spark):
+    rows = [(5, "x", 1, 2, 3), (5, "x", 1, 2, 3), (6, "x", 1, 2, 3), (6, "y", 1, 2, 3), (None, "", 0, 0, 0), (4, None, 9, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _digest int, _gone_id int, _gone_digest int")
+    assert sorted(map(tuple, exact_dedup.without_copies(df).collect())) == [rows[5], rows[2], rows[3]]
+    twice = spark.createDataFrame([rows[0], rows[0]], df.schema)
+    assert [tuple(r) for r in exact_dedup.without_copies(twice).collect()] == [rows[0]]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
-    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
-    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, kept, str(tmp_path))
-        assert after.columns == kept.columns
-        kept = after.cache()
-        if name == "language_id":
-            assert kept.count() <= sum(bool(re.search(r"[^\W\d_]", t or "")) for t in texts)
-        if name == "exact_dedup":
-            assert kept.count() == kept.select("text").distinct().count()
-    want = {r["doc_id"] for r in kept.collect()}
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in rows} == want and all(r["length"] <= 1024 for r in rows)
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("members", [0, 10, 200_000])
+def test_bitmap_has_every_member(spark, members):
+    from marginalia.llm.common import bitmap, in_bitmap
+
+    hashes = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, members + 50_000)
+    bits = np.frombuffer(bitmap(spark.createDataFrame([(int(x),) for x in hashes[:members]], "h long")), np.uint8)
+    assert len(bits) == 1 << max(16, (members * 8 - 1).bit_length() - 3 if members else 16)
+    known = in_bitmap(bits, hashes)
+    assert known[:members].all() and known[members:].mean() < 0.2
