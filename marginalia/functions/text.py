@@ -132,15 +132,92 @@ def clean_subject(c: Column | str) -> Column:
 
 
 def format_author(c: Column | str) -> Column:
-    """'Last, First, dates' to 'First Last'."""
-    parts = F.filter(F.transform(F.split(_col(c), ","), lambda x: F.trim(x)), lambda x: ~x.rlike(r"\d") & (x != ""))
-    return F.when(F.size(parts) >= 2, F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))).otherwise(F.get(parts, F.lit(0)))
+    """'Last, First, dates' to 'First Last'; parts that begin with a year go."""
+    parts = F.filter(F.transform(F.split(_col(c), ","), lambda x: F.trim(x)), lambda x: ~x.rlike(r"^\d{3,4}\??-?"))
+    return F.when(F.size(parts) >= 2, F.trim(F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))).otherwise(F.get(parts, F.lit(0)))
 
 
 def latin_share(c: Column | str) -> Column:
-    """Share of the letters that are Latin; null without letters."""
+    """Share of the letters that are Latin; 1 without letters, null for null."""
     letters = F.length(F.regexp_replace(_col(c), r"[^\p{L}]", ""))
-    return F.try_divide(F.length(F.regexp_replace(_col(c), r"[^\p{IsLatin}]", "")), letters)
+    return F.coalesce(F.try_divide(F.length(F.regexp_replace(_col(c), r"[^\p{IsLatin}&&\p{L}]|[^\p{IsLatin}]", "")), letters), F.when(_col(c).isNotNull(), 1.0))
+
+
+def smart_title(c: Column | str) -> Column:
+    """A title all in capitals with one capital a word (`DON'T STOP` to `Don't Stop`); any other as it is."""
+    s = _col(c)
+    words = F.regexp_extract_all(s, F.lit(r"([A-Za-z]+(?:'[A-Za-z]+)?|[^A-Za-z]+)"), 1)
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1 << 20)))), "")
+    return F.when((s == F.upper(s)) & (s != F.lower(s)), joined).otherwise(s)
+
+
+def plot_section(c: Column | str, most: int | None = None) -> Column:
+    """The first plot section of an encyclopedia text, up to the next heading, white space squeezed; '' without one."""
+    head = r"(?is)\n==+\s*(?:Plot|Synopsis|Plot summary|Story|Premise)\s*==+\n(.*?)(?:\n==+\s*[^=]+\s*==+\n|\z)"
+    body = squeeze(F.regexp_extract(_col(c), head, 1))
+    return F.substring(body, 1, most) if most else body
+
+
+def is_disambiguation(page: Column, text: Column) -> Column:
+    return F.lower(page).contains("(disambiguation)") | F.substring(text, 1, 400).rlike(r"(?iu)\bmay (also )?refer to\b")
+
+
+def surname(author: Column) -> Column:
+    """The last part of a name that has a letter, of three characters or more; else null."""
+    parts = F.filter(F.split(author, r"[\s,]+"), lambda p: p.rlike("[A-Za-z]"))
+    last = F.try_element_at(parts, F.lit(-1))
+    return F.when(F.length(last) >= 3, last)
+
+
+def names_author(text: Column, author: Column) -> Column:
+    """Whether the author's surname is a whole word of the text; without a surname it isn't."""
+    quoted = F.concat(F.lit(r"(?iu)\b\Q"), surname(author), F.lit(r"\E\b"))
+    return F.coalesce(F.regexp_like(text, quoted), F.lit(False))
+
+
+def page_title(c: Column) -> Column:
+    """A title for comparison with a page's: lower case, without parentheses and signs."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\([^)]*\)", ""), "[^a-z0-9 ]", ""))
+
+
+# Spellings of genres in file names.
+GENRE_FILES = {"sci-fi": "sci-fi", "science fiction": "sci-fi", "general fiction": "general-fiction", "children's": "childrens", "young adult": "young-adult", "literary fiction": "literary-fiction", "biography & memoir": "biography-memoir"}
+# A staged spice level's spellings.
+STAGED_SPICE = {
+    "none": "No Spice", "no spice": "No Spice", "low": "Tame", "tame": "Tame", "medium": "Medium Spice", "medium spice": "Medium Spice",
+    "high": "Explicit", "explicit": "Explicit", "n/a": "N/A", "na": "N/A",
+}
+SPICE_RANK = {"No Spice": 0, "Tame": 1, "Medium Spice": 2, "Explicit": 3}
+
+
+def lookup(values: dict[str, object], key: Column) -> Column:
+    """A value of a small fixed table, null for other keys."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+
+def genre_file(c: Column | str) -> Column:
+    s = F.lower(F.trim(_col(c)))
+    return F.coalesce(lookup(GENRE_FILES, s), F.replace(s, F.lit(" "), F.lit("-")))
+
+
+def staged_spice(c: Column | str) -> Column:
+    return lookup(STAGED_SPICE, F.lower(F.trim(_col(c))))
+
+
+def hottest(levels: Column) -> Column:
+    """The highest of an array of spice levels; others than the four ranked ones count for nothing."""
+    ranked = F.transform(levels, lambda x: F.struct(lookup(SPICE_RANK, x).alias("rank"), x.alias("level")))
+    return F.array_max(F.filter(ranked, lambda x: x["rank"].isNotNull()))["level"]
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Whole percent, cut off."""
+    return F.floor(part * 100 / whole).cast("int")
+
+
+def snippet(c: Column | str, n: int) -> Column:
+    """The first n characters with line breaks as spaces."""
+    return F.substring(F.trim(F.replace(_col(c), F.lit("\n"), F.lit(" "))), 1, n)
 
 
 def pretty(c: Column | str) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.similarity import length_bound, token_sort_ratio
+from marginalia.functions.similarity import token_sort_ratio
 from marginalia.functions.text import normalize_author, normalize_title
+from marginalia.operators.similar import Rule, nearest
 
 # Fixed values of the match rule.
 FLOOR, TITLE_SHARE = 50.0, 0.7
@@ -22,28 +23,37 @@ def key_match(rows: DataFrame, books: DataFrame, keys: tuple[str, ...]) -> DataF
     return out
 
 
-def fuzzy_match(rows: DataFrame, books: DataFrame) -> DataFrame:
+def fuzzy_match(rows: DataFrame, books: DataFrame, floor: float = FLOOR) -> DataFrame:
     """rows: (row_id, title, author); books: (id, title, author). (row_id, book_id, score, match_status) with the best
-    book of each row by 0.7 title + 0.3 author, of those whose titles reach 50; ties by id.
+    book of each row by 0.7 title + 0.3 author, of those whose titles reach the floor; ties by id.
 
-    Distinct texts are compared once. Titles whose lengths can't reach the floor never meet: both sides are dealt by
-    length class, and a title is repeated for the classes that its length allows.
+    Distinct texts of both sides are compared once, in blocks with a bound; see similar.nearest().
     """
-    left = rows.select("row_id", normalize_title("title").alias("nt"), normalize_author("author").alias("na"))
-    right = books.select("id", normalize_title("title").alias("bt"), normalize_author("author").alias("ba"))
-    titles, book_titles = left.select("nt").distinct(), right.select("bt").distinct()
-    ratio = FLOOR / (200.0 - FLOOR)  # least length over greatest
-    step = F.log(F.lit(1 / ratio))
-    level = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / step)
-    near = titles.withColumn("level", F.explode(F.sequence(level("nt") - 1, level("nt") + 1))).join(book_titles.withColumn("level", level("bt")), "level")
-    near = near.filter(length_bound(F.col("nt"), F.col("bt")) >= FLOOR).withColumn("ts", token_sort_ratio(F.col("nt"), F.col("bt"))).filter(F.col("ts") >= FLOOR).select("nt", "bt", "ts")
-    pairs = left.join(near, "nt").join(right, "bt")
-    authors = pairs.select("na", "ba").distinct().withColumn("au", token_sort_ratio(F.col("na"), F.col("ba")))
-    scored = pairs.join(authors, ["na", "ba"]).withColumn("score", F.round(TITLE_SHARE * F.col("ts") + (1 - TITLE_SHARE) * F.col("au"), 6))
-    best = scored.groupBy("row_id").agg(F.max_by(F.struct("id", "score", "ts", "au"), F.struct("score", -F.col("id"))).alias("b"))
-    tier = F.when((F.col("b.ts") >= MATCHED_TITLE) & (F.col("b.au") >= MATCHED_AUTHOR), "matched").when(F.col("b.score") >= AMBIGUOUS, "ambiguous").otherwise("unmatched")
-    found = best.select("row_id", F.when(tier != "unmatched", F.col("b.id")).alias("book_id"), F.col("b.score").alias("score"), tier.alias("match_status"))
-    return rows.select("row_id").join(found, "row_id", "left").select("row_id", "book_id", "score", F.coalesce("match_status", F.lit("unmatched")).alias("match_status"))
+    left = rows.select("row_id", normalize_title(F.coalesce("title", F.lit(""))).alias("one"), normalize_author(F.coalesce("author", F.lit(""))).alias("two"))
+    asked = left.select("one", "two").distinct().withColumn("id", F.xxhash64("one", "two"))
+    known = books.select("id", normalize_title(F.coalesce("title", F.lit(""))).alias("one"), normalize_author(F.coalesce("author", F.lit(""))).alias("two")).groupBy("one", "two").agg(F.min("id").cast("long").alias("id"))
+    found = nearest(asked, known, 1, Rule(TITLE_SHARE, floor))
+    tier = F.when((F.col("first") >= MATCHED_TITLE) & (F.col("second") >= MATCHED_AUTHOR), "matched").when(F.col("score") >= AMBIGUOUS, "ambiguous").otherwise("unmatched")
+    best = found.select(F.col("left_id").alias("_left"), F.col("right_id").alias("_book"), "score", tier.alias("tier"))
+    return left.withColumn("_asked", F.xxhash64("one", "two")).join(best, F.col("_asked") == F.col("_left"), "left").select(
+        "row_id", F.when(F.col("tier") != "unmatched", F.col("_book")).alias("book_id"), "score", F.coalesce("tier", F.lit("unmatched")).alias("match_status")
+    )
+
+
+def accepted_match(rows: DataFrame, books: DataFrame, floor: float = 60.0) -> DataFrame:
+    """(row_id, book_id): as fuzzy_match() with a higher floor, sure matches only."""
+    return fuzzy_match(rows, books, floor).filter("match_status = 'matched'").select("row_id", "book_id")
+
+
+def popular_match(hits: DataFrame, least: float = 80.0) -> DataFrame:
+    """hits: (row_id, title, author, hit_id, hit_title, hit_author, users), what a search returned for each row. The best
+    hit of each row whose title and author reach `least` (an author is needed only where the row has one), by title +
+    author + users / 1e6; ties by hit_id."""
+    own, other = normalize_author(F.coalesce("author", F.lit(""))), normalize_author(F.coalesce("hit_author", F.lit("")))
+    scored = hits.withColumn("ts", token_sort_ratio(normalize_title("title"), normalize_title("hit_title"))).withColumn("au", F.when((own != "") & (other != ""), token_sort_ratio(own, other)).otherwise(0.0))
+    fits = scored.filter((F.col("ts") >= least) & ((F.col("au") >= least) | (own == "")))
+    rank = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(F.round(F.col("ts") + F.col("au") + F.coalesce("users", F.lit(0)) / 1e6, 6)), "hit_id"))
+    return fits.withColumn("rank", rank).filter("rank = 1").select("row_id", "hit_id")
 
 
 def pending(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.similarity import length_bound, token_sort_ratio
 from marginalia.functions.text import normalize_raw
+from marginalia.operators.similar import Rule, nearest, single
 
 
 def term_stats(terms: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def route_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def resolve_chains(merges: DataFrame, depth: int = 5) -> DataFrame:
     """merges: (slug, into). (slug, target): the end of each chain of merges, at most `depth` steps on; a cycle stops
-    there. Each round joins the pairs with themselves and so doubles the steps."""
+    there. Each round follows one more merge."""
     pairs = merges.filter("slug <> into").select("slug", F.col("into").alias("target"), F.lit(1).alias("steps"))
     for _ in range(depth - 1):
         step = merges.filter("slug <> into").select(F.col("slug").alias("at"), "into")
@@ -56,9 +56,10 @@ def canonicalise(books: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def nearest_terms(terms: DataFrame, vocabulary: DataFrame, k: int = 3, least: float = 0.0) -> DataFrame:
-    """(term, rank, display, score): the k displays most like each term. Pairs whose lengths rule out `least` are not
-    compared; the vocabulary is the small side and is repeated, by length, for the lengths that can reach it."""
-    pairs = terms.select("term").distinct().join(vocabulary.select("display").distinct(), length_bound(F.col("term"), F.col("display")) >= least)
-    scored = pairs.withColumn("score", F.round(token_sort_ratio(F.lower("term"), F.lower("display")), 6)).filter(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "display"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("term", "rank", "display", "score")
+    """(term, rank, display, score): the k displays most like each term, of `least` or more; ties by display."""
+    asked = terms.select("term").distinct().withColumn("id", F.xxhash64("term"))
+    shown = vocabulary.select("display").distinct()
+    shown = shown.withColumn("id", F.row_number().over(Window.orderBy("display")).cast("long"))  # a vocabulary is small, and its order breaks ties
+    found = nearest(single(asked, F.col("id"), F.lower("term")), single(shown, F.col("id"), F.lower("display")), k, Rule(least=least))
+    named = found.join(asked, F.col("left_id") == asked["id"]).drop("id").join(shown.withColumnRenamed("id", "_shown"), F.col("right_id") == F.col("_shown"))
+    return named.select("term", "rank", "display", "score")
