@@ -134,3 +134,22 @@ BLOCKED_PARTS = (
 )
 BLOCKED_PATTERNS = (r"^\d+\s*-?\s*stars?$", r"^stars?$", r"^dnf$", r"^arc$", r"^own$", r"^owns$", r"^owned\b.*", r"^\d{4}$", r"^\d{4}\s*-\s*\d{4}$")
 BLOCKED_PREFIXES = ("#", "@", "http", "www.")
+
+# A blurb's patterns: explicit fiction, narrative hints, expository markers.
+BLURB_EXPLICIT = r"\bnovels?\b|\bnovella\b|\bnovelist\b|\bwork of fiction\b|\bpicture book\b|\bshort stor(y|ies)\b|\ba (fairy )?tale of\b|\bpicture[- ]book\b"
+BLURB_HINTS = (
+    r"\ba (thrilling|gripping|sweeping|heartwarming|haunting|charming|poignant) (tale|story|saga|debut|read)\b|\ba story of\b|\bfairy tale\b|"
+    r"\bfantasy (adventure|world|epic)\b|\bwhen (a|an|the|her|his|young|she|he)\b.{0,40}\b(must|discovers?|finds?|meets?|falls?|realizes?|sets? (out|off)|"
+    r"embarks?)\b|\bmust (save|find|stop|escape|choose|protect|fight|survive|uncover|defeat)\b|\b(magical|enchanted|mythical) (world|kingdom|land|realm)\b|"
+    r"\bcoming[- ]of[- ]age (story|tale|novel)\b"
+)
+BLURB_EXPOSITORY = (
+    r"\bthis (book|volume|study|biography|memoir|guide|history|work|collection) \b|\ba (history|biography|memoir|study|guide|celebration|portrait|survey|"
+    r"chronicle) of\b|\bthe (history|biography|life|making|science) of\b|\btrue story\b|\breal[- ]life\b|\bnonfiction\b|\bnon-fiction\b|\bhow to\b|"
+    r"\bguide to\b|\bhandbook\b|\bintroduction to\b|\bexamin(e|es|ing) (the|how|various)\b|\bexplores? (the|how|why)\b|\bargues that\b|"
+    r"\bdraws? on\b|\bfully illustrated\b|\bphotographs?\b|\brecipes?\b|\bessays\b|\bchapters\b|\bscholar|\bacademic\b|\banthology\b|\bmemoir\b|"
+    r"\baccount of\b|\bresearch\b|\btextbook\b|\bdigitized by\b|\bannotated\b|\btranslation\b|\bgeography of\b|\bbiograph|\bautobiograph|\breport(s)? (the|on|that)\b|"
+    r"\banalyzes?\b|\binvestigat(es|ion)\b|\bnarrative history\b|\bself[- ]help\b|\bthe (definitive|inside|untold|secret|true) (history|story|account)\b"
+)
+# Words of categories of non-fiction.
+CATEGORY_WORDS = ("biography", "history", "science", "self-help", "business", "cooking", "religion", "philosophy", "psychology", "travel", "health", "political", "true crime", "reference", "education", "social science", "nature", "art", "music")

@@ -1,8 +1,6 @@
-"""All queries by name, and their oracle SQL."""
+"""All registered queries and their oracles."""
 
 from __future__ import annotations
 
-from marginalia.plans import catalogue, reading, upkeep  # noqa: F401  they register their queries
-from marginalia.plans.register import ORACLE_SQL, QUERIES
-
-__all__ = ["ORACLE_SQL", "QUERIES"]
+from marginalia.plans import catalogue, classes, reading, upkeep  # noqa: F401  they fill the tables below
+from marginalia.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
