@@ -37,13 +37,19 @@ def margin_class(text: Column, one: tuple[str, ...], two: tuple[str, ...], names
 
 
 def stop_word_language(text: Column) -> Column:
-    """non-latin by script, short under 20 characters, else the language with most stop words, else unknown."""
-    counts = [(lang, hits(text, words)) for lang, words in STOP_WORDS.items()]
+    """non-latin by script, short under 20 characters, else the language with most stop words, else unknown. Words are
+    runs of letters of any script."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    counts = [(lang, F.size(F.filter(words, _one_of(own)))) for lang, own in STOP_WORDS.items()]
     best = F.greatest(*(c for _, c in counts))
-    lang = F.when(best == 0, "unknown")
+    lang = F.when(best <= 0, "unknown")
     for name, c in counts:
         lang = lang.when(c == best, name)
-    return F.when(F.coalesce(latin_share(text), F.lit(1.0)) < 0.5, "non-latin").when(F.length(text) < 20, "short").otherwise(lang)
+    return F.when(F.coalesce(latin_share(text), F.lit(1.0)) < 0.5, "non-latin").when(F.coalesce(F.length(text), F.lit(0)) < 20, "short").otherwise(lang)
+
+
+def _one_of(words: Sequence[str]):
+    return lambda w: w.isin(*words)
 
 
 def archive_decision(language: Column) -> Column:

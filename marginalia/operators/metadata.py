@@ -9,12 +9,12 @@ from marginalia.functions.similarity import token_sort_ratio
 from marginalia.functions.text import first_year, normalize_author, normalize_title
 
 
-def works(dump: DataFrame) -> DataFrame:
-    """(key, title, authors, description, subjects) of a dump's work records."""
+def works(dump: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, title, authors, description, subjects) of a dump's work records, after the columns to keep."""
     j = F.col("json")
     authors = F.coalesce(F.regexp_extract_all(F.get_json_object(j, "$.authors"), F.lit('"(/authors/[^"]+)"'), 1), F.array().cast("array<string>"))
     text = F.coalesce(F.get_json_object(j, "$.description.value"), F.get_json_object(j, "$.description"))
-    return dump.filter("type = '/type/work'").select(F.get_json_object(j, "$.key").alias("key"), F.get_json_object(j, "$.title").alias("title"), authors.alias("authors"), F.nullif(F.trim(text), F.lit("")).alias("description"), F.from_json(F.get_json_object(j, "$.subjects"), "array<string>").alias("subjects"))
+    return dump.filter("type = '/type/work'").select(*keep, F.get_json_object(j, "$.key").alias("key"), F.get_json_object(j, "$.title").alias("title"), authors.alias("authors"), F.nullif(F.trim(text), F.lit("")).alias("description"), F.from_json(F.get_json_object(j, "$.subjects"), "array<string>").alias("subjects"))
 
 
 def confirm_works(books: DataFrame, work: DataFrame, author_names: DataFrame, least: float = 90.0) -> DataFrame:

@@ -60,6 +60,6 @@ def nearest_terms(terms: DataFrame, vocabulary: DataFrame, k: int = 3, least: fl
     asked = terms.select("term").distinct().withColumn("id", F.xxhash64("term"))
     shown = vocabulary.select("display").distinct()
     shown = shown.withColumn("id", F.row_number().over(Window.orderBy("display")).cast("long"))  # a vocabulary is small, and its order breaks ties
-    found = nearest(single(asked, F.col("id"), F.lower("term")), single(shown, F.col("id"), F.lower("display")), k, Rule(least=least))
+    found = nearest(single(asked, F.col("id"), F.col("term")), single(shown, F.col("id"), F.col("display")), k, Rule(least=least))
     named = found.join(asked, F.col("left_id") == asked["id"]).drop("id").join(shown.withColumnRenamed("id", "_shown"), F.col("right_id") == F.col("_shown"))
     return named.select("term", "rank", "display", "score")

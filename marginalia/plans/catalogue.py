@@ -167,17 +167,34 @@ def usage_with_zero(spark, d):
     return _vocabulary(spark, d).select("slug").join(used, "slug", "left").select("slug", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("nearest_terms_top3", None)
+def lcs_sql(a: str, b: str) -> str:
+    """Longest common subsequence by its table, a row for each character of a."""
+    rows = f"list_prepend([0 for z in range(length({b}) + 1)], list_transform(string_split({a}, ''), lambda c: [ord(c)]))"
+    row = f"list_reduce(list_prepend([0], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN ord({b}[j[1]]) = ch[1] THEN prev[j[1]] + 1 ELSE greatest(acc[-1], prev[j[1] + 1]) END))"
+    return f"list_reduce({rows}, lambda prev, ch: {row})[-1]"
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return f"200.0 * {lcs_sql(a, b)} / (length({a}) + length({b}))"
+
+
+_SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+
+
+@query("nearest_terms_top3", f"""WITH t AS (SELECT DISTINCT p_name || 's' AS term, {_SORTED.format("p_name || 's'")} AS a FROM part), v AS (SELECT DISTINCT p_name AS display, {_SORTED.format("p_name")} AS b FROM part),
+  s AS (SELECT term, display, round({ratio_sql("a", "b")}, 6) AS score FROM t, v), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, display) AS rank FROM s WHERE score >= 50)
+  SELECT term, CAST(rank AS INT) AS rank, display, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 3""")
 def nearest_terms_top3(spark, d):
     b = books(spark, d)
     return taxonomy.nearest_terms(b.select(F.concat("title", F.lit("s")).alias("term")), b.select(F.col("title").alias("display")), 3, 50.0)
 
 
-@query("similarity_length_bound", None)
+@query("similarity_length_bound", f"SELECT a.p_partkey AS id, CAST(round({ratio_sql('a.s', 'b.s')}, 6) AS DOUBLE) AS score, {ratio_sql('a.s', 'b.s')} <= 200.0 * least(length(a.s), length(b.s)) / (length(a.s) + length(b.s)) AS bounded FROM (SELECT *, {_SORTED.format('p_name')} AS s FROM part) a JOIN (SELECT *, {_SORTED.format('p_name')} AS s FROM part) b ON b.p_partkey = a.p_partkey + 1")
 def similarity_length_bound(spark, d):
-    b = books(spark, d).select("title").distinct()
-    pairs = b.crossJoin(b.select(F.col("title").alias("other")))
-    return pairs.select("title", "other", F.round(similarity.token_sort_ratio(F.col("title"), F.col("other")), 6).alias("score"))
+    """The similarity of each title with the next one's, and that it keeps below its bound."""
+    b = books(spark, d).select("id", "title")
+    pairs = b.join(b.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id").withColumn("score", F.round(similarity.token_sort_ratio(F.col("title"), F.col("other")), 6))
+    return pairs.select("id", "score", (F.col("score") <= similarity.length_bound(F.col("title"), F.col("other")) + 1e-6).alias("bounded"))
 
 
 @query("triage_class", f"""{WITH} SELECT id, CASE WHEN genres[1] = 'PROMO' THEN 'childrens' WHEN genres[1] = 'SMALL' THEN 'poetry_drama' WHEN genres[1] IN ('ECONOMY') THEN 'nonfiction' WHEN genres[1] IN ('STANDARD', 'MEDIUM') THEN 'fiction' ELSE 'ambiguous' END AS book_class FROM books""")
@@ -199,7 +216,12 @@ def class_score_regex(spark, d):
     return table(spark, d, "documents").select("doc_id", classify.margin_class(F.col("text"), _ONE, _TWO, ("plain", "bound")).alias("book_class"))
 
 
-@query("lang_archive", None)
+_STOPPED = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS n_{lang}" for lang, words in (("en", ("the", "and", "of", "to")), ("fr", ("le", "la", "et", "les", "des")), ("de", ("der", "die", "und", "das")), ("es", ("el", "la", "de", "que", "los"))))
+
+
+@query("lang_archive", f"""WITH t AS (SELECT doc_id, lang, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents), n AS (SELECT *, {_STOPPED}, greatest(n_en, n_fr, n_de, n_es) AS best FROM t),
+  l AS (SELECT doc_id, lang, CASE WHEN length(regexp_replace(text, '[^\\p{{Latin}}]', '', 'g')) < 0.5 * length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) THEN 'non-latin' WHEN coalesce(length(text), 0) < 20 THEN 'short' WHEN best <= 0 THEN 'unknown' WHEN n_en = best THEN 'en' WHEN n_fr = best THEN 'fr' WHEN n_de = best THEN 'de' WHEN n_es = best THEN 'es' END AS language FROM n)
+  SELECT *, CASE WHEN language = 'non-latin' THEN 'archive_script' WHEN language IN ('fr', 'de', 'es') THEN 'archive_language' WHEN language = 'unknown' THEN 'review' ELSE 'keep' END AS decision FROM l""")
 def lang_archive(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", classify.stop_word_language(F.col("text")).alias("language"))
     return docs.withColumn("decision", classify.archive_decision(F.col("language")))
@@ -270,13 +292,17 @@ def rollback_identity(spark, d):
     return back.select("id", F.array_join("tropes", "|").alias("tropes"), F.array_join("tags", "|").alias("tags"), "pacing", "spice_level", "focus")
 
 
-@query("catalogue_sync", f"{WITH} SELECT id, title, CASE WHEN id % 10 = 0 THEN 'insert' ELSE 'update' END AS action FROM books WHERE id % 10 = 0 OR id % 7 = 0")
+@query("catalogue_sync", """WITH cur AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_brand END AS author FROM part WHERE p_retailprice < 980),
+  new AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS author FROM part)
+  SELECT n.id, n.title, CASE WHEN c.id IS NULL THEN 'insert' ELSE 'update' END AS action FROM new n LEFT JOIN cur c USING (id) WHERE c.id IS NULL OR n.title IS DISTINCT FROM c.title OR n.author IS DISTINCT FROM c.author""")
 def catalogue_sync(spark, d):
-    b = books(spark, d).select("id", "title", "author")
-    return staging.changed(b.filter("id % 10 <> 0").withColumn("author", F.when(F.col("id") % 7 == 0, "?").otherwise(F.col("author"))), b, "id", ["title", "author"]).select("id", "title", "action")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_brand", "p_size", "p_retailprice")
+    cur = p.filter("p_retailprice < 980").select("id", "title", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("author"))
+    new = p.select("id", "title", F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("author"))
+    return staging.changed(cur, new, "id", ["title", "author"]).select("id", "title", "action")
 
 
-@query("genre_repair", f"{WITH} SELECT id, CASE WHEN id % 4 = 0 THEN 'Novel|' || genres[1] ELSE genres[1] END AS genres FROM books")
+@query("genre_repair", f"{WITH} SELECT id, array_to_string(CASE WHEN id % 4 = 0 THEN list_prepend('Novel', genres) ELSE genres END, '|') AS genres FROM books")
 def genre_repair(spark, d):
     b = books(spark, d)
     source = b.select("id", F.when(F.col("id") % 4 == 0, F.array(F.lit("Novel"))).otherwise(F.col("genres")).alias("genres"))
@@ -328,9 +354,11 @@ def stratified_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", rank.alias("rank")).filter("rank <= 10")
 
 
-@query("latin_share", "SELECT doc_id, CAST(1.0 AS DOUBLE) AS value FROM documents WHERE regexp_matches(text, '\\p{L}')")
+@query("latin_share", "SELECT doc_id, round(coalesce(length(regexp_replace(t, '[^\\p{Latin}]', '', 'g')) / nullif(length(regexp_replace(t, '[^\\p{L}]', '', 'g')), 0), 1.0), 6) AS value FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'мир ' || left(text, 10) ELSE '12 - 3' END AS t FROM documents) WHERE t IS NOT NULL")
 def latin_share(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.latin_share("text").alias("value")).filter("value IS NOT NULL")
+    k = F.col("doc_id") % 3
+    t = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("мир "), F.expr("left(text, 10)"))).otherwise("12 - 3")
+    return table(spark, d, "documents").select("doc_id", F.round(text.latin_share(t), 6).alias("value")).filter("value IS NOT NULL")
 
 
 @query("array_union_ci", f"{WITH} SELECT id, array_to_string(list_append(tags, 'extra'), '|') AS tags FROM books")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.operators import matching, profile, recommend
+from marginalia.plans.catalogue import ratio_sql
 from marginalia.plans.domain import BOOKS_SQL, CANON_SQL, JUNK_SQL, SPICE_SQL, USER_BOOKS_SQL, books, table, user_books
 from marginalia.plans.register import query
 
@@ -159,12 +160,15 @@ def embedding_top1(spark, d):
     return matching.embedding_nearest(v.filter("id % 100 = 0"), v, 3)
 
 
-@query("fuzzy_match_tiers", None)
+@query("fuzzy_match_tiers", f"""WITH n AS (SELECT p_partkey AS id, p_name AS title, p_name[1:length(p_name) - 1] AS typed FROM part), s AS (SELECT DISTINCT typed, title, array_to_string(list_sort(string_split(typed, ' ')), ' ') AS a, array_to_string(list_sort(string_split(title, ' ')), ' ') AS b FROM (SELECT DISTINCT typed FROM n), (SELECT DISTINCT title FROM n)),
+  r AS (SELECT typed, title, {ratio_sql("a", "b")} AS ts FROM s), f AS (SELECT title, min(id) AS id FROM n GROUP BY title),
+  best AS (SELECT typed, f.id, ts, row_number() OVER (PARTITION BY typed ORDER BY round(0.7 * ts + 30, 6) DESC, f.id) AS k FROM r JOIN f USING (title) WHERE ts >= 50)
+  SELECT n.id AS row_id, CASE WHEN 0.7 * ts + 30 >= 65 THEN b.id END AS book_id, CAST(round(0.7 * ts + 30, 6) AS DOUBLE) AS score, CASE WHEN ts >= 88 THEN 'matched' WHEN 0.7 * ts + 30 >= 65 THEN 'ambiguous' ELSE 'unmatched' END AS match_status FROM n LEFT JOIN best b ON b.typed = n.typed AND k = 1""")
 def fuzzy_match_tiers(spark, d):
-    """Customers' names stand in for typed titles: a part's name with its last letter cut, by another author."""
+    """Typed titles are the parts' names without their last letter. Brands are alike but for digits, which don't count."""
     b = books(spark, d).select("id", "title", "author")
     rows = b.select(F.col("id").alias("row_id"), F.expr("substring(title, 1, length(title) - 1)").alias("title"), "author")
-    return matching.fuzzy_match(rows, b.dropDuplicates(["title", "author"]))
+    return matching.fuzzy_match(rows, b)
 
 
 @query("feedback_counts", "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
