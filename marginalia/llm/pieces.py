@@ -2,9 +2,10 @@
 
 A text is cut into words where no piece of the vocabulary can cross; each distinct word of a batch is encoded once, and
 words of equal length advance together. Hashes of all substrings up to the longest piece probe the sorted hashes of the
-pieces. For a unigram model a Viterbi pass goes over the ends: vectorised maxima over the piece lengths give each end's
-best score and its backpointer. A BPE model's ids follow from its merges, not from the best sum of scores; there each
-step merges, in every word at once, the adjacent pair whose piece has the highest score, the leftmost among equals.
+pieces, and a Viterbi pass goes over the ends: vectorised maxima over the piece lengths give each end's piece and its
+backpointer. For a unigram model the best sum of scores decides. A BPE model's ids follow from its merges: there a prefix
+has one encoding, and a piece may end it only if merging its text and that of the piece before gives these two back. What
+pairs are so is worked out once for each pair, by merges, and kept.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _STEP = U64(0x9E3779B97F4A7C15)
 UNIGRAM, BPE = 1, 2
-LONG = 400  # characters from which a BPE word is merged with a heap
+LONG = 400  # characters from which a BPE word is merged with a heap: the same ids, in less memory
+START, UNKNOWN = -1, -2  # what ends the empty prefix, and a character that is no piece
+PAIRS = 20  # bits of the table of pairs
 
 
 class PieceModel:
@@ -60,6 +63,8 @@ class PieceModel:
         self.scores = scores[self.ids]
         self.unk_score = np.float32(scores[normal].min() - 10)
         self.by_text = {self.texts[i]: (float(scores[i]), i) for i in normal}
+        if self.kind == BPE:
+            self._splits(normal, scores)
 
     @staticmethod
     def _hash(text: str) -> U64:
@@ -102,11 +107,96 @@ class PieceModel:
             rows = rows[end[rows] > 0]
         return out[:, 1:]
 
-    def merge(self, chars: np.ndarray) -> np.ndarray:
-        """As viterbi(), by merges."""
+    def _splits(self, normal: list[int], scores: np.ndarray) -> None:
+        """Of each piece the two that merge into it last, and the order of merges; a character is there from the start. A
+        piece that merges of its own text don't end in is never used."""
+        self.rank, self.left, self.right = np.zeros(len(self.texts), np.int64), np.zeros(len(self.texts), np.int64), np.zeros(len(self.texts), np.int64)
+        self.reachable = np.zeros(len(self.texts), bool)
+        order = sorted((i for i in normal if len(self.texts[i]) > 1), key=lambda i: -scores[i])
+        self.rank[order] = np.arange(1, len(order) + 1)
+        by_size: dict[int, list[int]] = {}
+        for i in normal:
+            by_size.setdefault(len(self.texts[i]), []).append(i)
+        pairs: dict[int, int] = {}
+        for size, own in by_size.items():
+            if size == 1:
+                self.reachable[own] = True
+                continue
+            chars = np.frombuffer("".join(self.texts[i] for i in own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
+            self.reachable[own] = self.merge(chars)[:, -1] == size
+            ends = self.merge(chars, whole=False)
+            for i, e in zip(own, ends, strict=True):
+                cut = np.flatnonzero(e)
+                if self.reachable[i] and len(cut) == 2:
+                    one, two = self.texts[i][: cut[0] + 1], self.texts[i][cut[0] + 1 :]
+                    self.left[i], self.right[i] = self.by_text[one][1], self.by_text[two][1]
+                    pairs[self.left[i] << 32 | self.right[i]] = i
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_rank = self.rank[[pairs[k] for k in self.pair_keys.tolist()]]
+        self.seen_keys, self.seen_fits = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
+
+    def _apart(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether merges of the pieces' joint text end in the two. Their own merges are taken back, the later first; at no
+        time may what stands at the border merge earlier than what was taken back."""
+        out, rows = np.ones(len(one), bool), np.arange(len(one))
+        limit = np.full(len(one), np.iinfo(np.int64).max)
+        while len(rows):
+            key = one << 32 | two
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            bad = (self.pair_keys[at] == key) & (self.pair_rank[at] < limit)
+            out[rows[bad]] = False
+            first, second = self.rank[one], self.rank[two]
+            go = ~bad & ((first > 0) | (second > 0))
+            one, two, limit, rows, first, second = one[go], two[go], limit[go], rows[go], first[go], second[go]
+            later = first > second
+            limit = np.where(later, first, second + 1)
+            one, two = np.where(later, self.right[one], one), np.where(later, two, self.left[two])
+        return out
+
+    def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether a prefix that ends with the piece `before` may go on with `piece`."""
+        out = (before < 0) | (piece < 0)
+        some = np.flatnonzero(~out)
+        key = before[some].astype(np.int64) << 32 | piece[some]
+        slot = ((key.view(U64) * _STEP) >> U64(64 - PAIRS)).astype(np.int64)
+        known, missed = self.seen_fits[slot], np.flatnonzero(self.seen_keys[slot] != key)
+        if len(missed):
+            known[missed] = self._apart(before[some[missed]], piece[some[missed]])
+            self.seen_keys[slot[missed]], self.seen_fits[slot[missed]] = key[missed], known[missed]
+        out[some] = known
+        return out
+
+    def prefixes(self, chars: np.ndarray) -> np.ndarray:
+        """As viterbi(), for a BPE model: the piece that ends each prefix's encoding, found from those of shorter ones."""
+        n, size = chars.shape
+        _, ids = self.spans(chars)
+        ids[(ids >= 0) & ~self.reachable[ids]] = -1
+        single = ids[:, :, 0]
+        single[single < 0] = UNKNOWN
+        last, back = np.full((n, size + 1), START, np.int64), np.zeros((n, size + 1), np.int64)
+        every = np.arange(n)
+        for end in range(1, size + 1):
+            lengths = np.arange(min(ids.shape[2], end), 0, -1)
+            piece, before = ids[:, end - lengths, lengths - 1], last[:, end - lengths]
+            can = piece != -1
+            can[can] = self.fits(before[can], piece[can])
+            pick = can.argmax(1)
+            last[:, end], back[:, end] = piece[every, pick], lengths[pick]
+        out, end, rows = np.zeros((n, size + 1), np.int64), np.full(n, size), every
+        while len(rows):
+            out[rows, end[rows]] = back[rows, end[rows]]
+            end[rows] -= back[rows, end[rows]]
+            rows = rows[end[rows] > 0]
+        return out[:, 1:]
+
+    def merge(self, chars: np.ndarray, whole: bool = True) -> np.ndarray:
+        """As viterbi(), by merges: each step merges, in every word at once, the adjacent pair whose piece has the highest
+        score, the leftmost among equals. Without `whole` the merge that would end in the whole word isn't made."""
         n, size = chars.shape
         score, _ = self.spans(chars)
         most = score.shape[2]
+        if not whole and most == size:
+            score[:, 0, size - 1] = -np.inf
         end = np.tile(np.arange(1, size + 1), (n, 1))  # of the symbol that begins at each place
         begin, live = np.ones((n, size + 1), bool), np.arange(n)
         while len(live):
@@ -180,7 +270,7 @@ class PieceModel:
             for k in range(0, len(rows), step):
                 own = rows[k : k + step]
                 chars = np.frombuffer("".join(words[i] for i in own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
-                ends = self.viterbi(chars) if self.kind == UNIGRAM else self.merge(chars)
+                ends = self.viterbi(chars) if self.kind == UNIGRAM else self.prefixes(chars)
                 w, at = np.nonzero(ends)
                 cut = ends[w, at]
                 got: list[list[int]] = [[] for _ in own]
@@ -239,18 +329,29 @@ class PieceModel:
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
+_models: dict[int, PieceModel] = {}
+
+
+def piece_model(proto: bytes) -> PieceModel:
+    """One model for each Python worker, with the pairs that it knows."""
+    key = zlib.crc32(proto)
+    if key not in _models:
+        _models[key] = PieceModel(proto)
+    return _models[key]
+
+
 def piece_ids(docs: DataFrame, model_path: str) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip
     (whether decoding the ids gives the text back).
 
-    A null or empty text has no ids. Repeated rows are encoded each for itself; an empty table gives no rows; other
-    columns aren't read. The model file is read once on the driver and sent to the executors; its size is fixed.
+    A null or empty text has no ids. Repeated rows are encoded each for itself; a text of any length is encoded whole; an
+    empty table gives no rows; other columns aren't read. The model file is read once on the driver and sent to the executors; its size is fixed.
     """
     with open(model_path, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel(proto.value)
+        model = piece_model(proto.value)
         table = model.decoder()
         for batch in batches:
             off = buffers(batch.column(1))[1]
