@@ -1,15 +1,16 @@
 """URL filters: pattern rules found by their rarest literal token, and host and path rules.
 
-Each pattern rule names literal tokens that any URL it fits contains. The rule is filed under the one that the fewest
-rules share (the longest of those). A URL's tokens fetch the rules filed under them, and only those run their regular
-expressions. Host and path rules are looked up by the host's suffixes, so no rule is tried in vain there either.
+Each pattern rule names literal tokens that any URL it fits contains. The rule is filed under the one that the fewest URLs
+have: the rules' tokens are counted over the whole table first. A URL's tokens fetch the rules filed under them, and only
+those run their regular expressions, which read ASCII classes and borders only. Host and path rules are looked up by the
+host's suffixes, so no rule is tried in vain there either.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,16 +32,18 @@ class PatternRule:
 
 
 class RuleIndex:
-    """Rules by their rarest literal token."""
+    """Rules by their rarest literal token; counts: how many URLs have a token, none where it isn't named."""
 
-    def __init__(self, rules: Sequence[PatternRule]):
-        shared = Counter(t for r in rules for t in set(r.literals))
+    def __init__(self, rules: Sequence[PatternRule], counts: Mapping[str, int] | None = None):
+        often, shared = counts or {}, Counter(t for r in rules for t in set(r.literals))
         self.by_token: dict[str, list[tuple[int, re.Pattern, str]]] = defaultdict(list)
         for n, r in enumerate(rules):
             if not r.literals:
                 raise ValueError(f"rule {r.name} has no literal token")
-            rarest = min(r.literals, key=lambda t: (shared[t], -len(t), t))
-            self.by_token[rarest].append((n, re.compile(r.pattern), r.verdict))
+            if any(not _TOKEN.fullmatch(t) for t in r.literals):
+                raise ValueError(f"a literal of rule {r.name} is no token of a-z and 0-9")
+            rarest = min(r.literals, key=lambda t: (often.get(t, 0), shared[t], -len(t), t))
+            self.by_token[rarest].append((n, re.compile(r.pattern, re.ASCII), r.verdict))
 
     def verdict(self, url: str) -> str:
         """That of the first fitting rule in their order; allow without one."""
@@ -84,16 +87,27 @@ SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 _ARROW = pa.schema([("page_id", pa.int64()), *((x, pa.string()) for x in ("host", "path", "rule", "verdict"))])
 
 
+def token_counts(pages: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
+    """How many URLs have each of the tokens: a row a token reaches the driver."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("[a-z0-9]+"), F.lit(0)))
+    wanted = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in sorted(set(tokens))], "token string"))  # the rules'
+    rows = pages.select(F.explode(found).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")).collect()
+    return {r["token"]: r["n"] for r in rows}
+
+
 def url_verdicts(pages: DataFrame, host_rules: Sequence[tuple[str, str, str]], patterns: Sequence[PatternRule]) -> DataFrame:
     """page_id, host, path, rule and verdict of every row.
 
-    A null url, or one without '://', has an empty host and path, fits no host rule and gets the pattern rules' verdict.
-    Repeated rows are judged each for itself; an empty table gives no rows; other columns aren't read.
+    A null url, or one without '://', has an empty host and path, fits no host rule and gets the pattern rules' verdict:
+    that of the first fitting rule in their order, allow without one. Of host rules that fit the longest wins; of two as
+    long, the first. Repeated rows are judged each for itself; a url of any length is read whole; an empty table gives no
+    rows; other columns aren't read, whatever their names.
     """
     host_rules, patterns = tuple(host_rules), tuple(patterns)
+    counts = token_counts(pages, [t for r in patterns for t in r.literals]) if patterns else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts, index = HostRules(host_rules), RuleIndex(patterns)
+        hosts, index = HostRules(host_rules), RuleIndex(patterns, counts)
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():

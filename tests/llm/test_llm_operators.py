@@ -307,12 +307,15 @@ def test_sentencepiece_matches_the_library(docs, texts):
     unigram.trainer_spec.model_type = 1
     for p in unigram.pieces:  # sums of scores stay exact in single precision
         p.score = max(p.score, -32000.0)
-    odd = [*texts, " lead", "trail ", "a   b", "x" * 900, "ab" * 300 + " c", "a\x00b"]
+    rng = random.Random(5)
+    dense = ["".join(rng.choice("abcdetohnrsi▁ .,AB日0") for _ in range(rng.randint(1, 60))) for _ in range(1500)] + ["a" * n for n in range(1, 60)] + ["the" * n for n in range(1, 20)]
+    odd = [*texts, *dense, " lead", "trail ", "a   b", "x" * 900, "ab" * 300 + " c", "a\x00b"]
     for raw in (proto, unigram.SerializeToString()):
         model, library = pieces.PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
         table, got = model.decoder(), model.encode(pa.array(odd, pa.string()))
         assert [x.tolist() for x in got] == library.encode([t or "" for t in odd])
-        assert [model.decode(x, table).decode() for x in got] == [t or "" for t in odd]
+        assert [x.tolist() for x in model.encode(pa.array(odd, pa.string()))] == [x.tolist() for x in got]
+        assert [model.decode(x, table).decode() for x in got] == [(t or "").replace(pieces.MARK, " ") for t in odd]
     assert pieces.piece_ids(docs, P.path("piece_bpe_32k.model")).filter("not round_trip").isEmpty()
 
 
@@ -363,6 +366,33 @@ def test_urls(spark):
     ]
 
 
+def test_thousands_of_url_rules(spark):
+    """Random rules by rarest token give what trying every rule gives; borders are ASCII, and other columns stay unread."""
+    rng = random.Random(11)
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    rules = []
+    for n in range(3000):
+        a, b = rng.choice(words_), rng.choice(words_)
+        pattern, literals = rng.choice([(rf"\b{a}\b.*\b{b}\b", (a, b)), (rf"://{a}\.", (a,)), (rf"/{a}(/|$)", (a,)), (rf"\b{a}-{b}\b", (a, b)), (rf"[?&]{a}=\d+", (a,))])
+        rules.append(url_filter.PatternRule(str(n), pattern, literals, rng.choice(["block", "block", "allow"])))
+    urls = [f"http://{rng.choice(words_)}.{rng.choice(words_)}/{'/'.join(rng.choice(words_) for _ in range(rng.randint(0, 3)))}?{rng.choice(words_)}={rng.randint(0, 9)}" for _ in range(300)]
+    urls += ["http://a.com/écheap-pills", "http://a.com/cheap-pillsé", "HTTP://CHEAP-PILLS.com", None, "", "x" * 5000 + "://cheap-pills/", urls[0], urls[0]]
+    rules.append(url_filter.PatternRule("pills", r"\bcheap-pills\b", ("cheap", "pills")))
+    df = spark.createDataFrame([(i, u, "h", "p", "r", "t") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string, token string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_verdicts(df, (), rules).collect()}
+
+    def brute(url):
+        low = (url or "").translate(LOWER)
+        return next((r.verdict for r in rules if re.search(r.pattern, low, re.ASCII)), "allow")
+
+    assert got == {i: brute(u) for i, u in enumerate(urls)} and got[300] == "block" and len(set(got.values())) == 2
+
+
+def test_empty_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries.QUERIES["op10_url_filters"](spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
