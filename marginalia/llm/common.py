@@ -10,7 +10,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,9 +192,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("stays").alias(stays))
     members = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(key_)))
 
-    @F.pandas_udf("boolean")
-    def may(hashes: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(np.frombuffer(members.value, np.uint8), hashes.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(np.frombuffer(members.value, np.uint8), hashes.to_numpy()))
 
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     some = keyed.filter(may(key)).join(gone, (F.col(key) == F.col(key_)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left")

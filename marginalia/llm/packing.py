@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id
         enc = encoder(ranks_path, pattern)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for i, j in steps(_offsets(batch.column(1)), 32 << 20):
+            for i, j in steps(_offsets(batch.column(1)), 8 << 20):
                 ids, at = enc.encode(batch.column(1).slice(i, j - i))
                 rows = [[], [], [], [], []]
                 for k, doc in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
