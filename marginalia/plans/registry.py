@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from marginalia.plans import catalogue, classes, history, reading, upkeep, vocabulary  # noqa: F401  they fill the tables below
+from marginalia.plans import catalogue, classes, history, landed, reading, upkeep, vocabulary  # noqa: F401  they fill the tables below
 from marginalia.plans.register import ORACLE_SQL, QUERIES  # noqa: F401

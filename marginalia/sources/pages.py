@@ -145,7 +145,7 @@ def category_labels(categories: Column) -> tuple[Column, Column]:
 def review_site_records(pages: DataFrame) -> DataFrame:
     """(url, title, author, genres, tags) of pages with linked data and category links."""
     html = F.col("html")
-    block = F.regexp_extract(html, r"(?is)Categor(?:y|ies):(.*?)</(?:div|ul|p|section)>", 1)
+    block = F.regexp_extract(html, r"(?is)Categor(?:y|ies):(.*?)(?:</(?:div|ul|p|section)>|\z)", 1)
     categories = F.array_distinct(_all(block, r'(?is)<a\b[^>]*href="[^"]*/discover-books/[^/"]+/[^"]*"[^>]*>(.*?)</a>'))
     base = pages.select("url", linked_book(html).alias("book"), categories.alias("categories"))
     genres, tags = category_labels(F.col("categories"))
