@@ -214,25 +214,64 @@ def test_lm_base_and_probabilities(docs, texts):
         assert abs(r["base_score"] - sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in own)) < 1e-6 and r["score"] < 0
 
 
-def test_lm_adapts_to_the_text(docs, texts):
-    """Scores with and without adaptation differ by what brute force gives, on texts whose tokens are all known."""
-    plain = {r["doc_id"]: r for r in ppm.lm_scores(docs, adapt=0.0).collect()}
-    count = collections.Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), "\0end"])
-    total = sum(count.values()) + len(count)
-    some = 0
-    for r in ppm.lm_scores(docs).collect():
-        own = words(texts[r["doc_id"]])
-        if r["n_known"] == r["n_tokens"]:
-            static = [count[w] / total for w in [*own, "\0end"]]
-            assert plain[r["doc_id"]]["score"] == pytest.approx(sum(map(math.log10, static)))
-            mixed = [p if not i else 0.85 * p + 0.15 * (own[:i].count(own[i]) / i if i < len(own) else 0) for i, p in enumerate(static)]
-            assert r["score"] == pytest.approx(sum(map(math.log10, mixed)))
-            some += 1
-    assert some > 10
+def running(text):
+    return b"".join(w.encode() + b" " for w in words(text)) + b"\n"
+
+
+def brute_ppm(train, order=5):
+    """log10 probability of the byte at a place of a padded stream, by dictionaries: escapes by method C, exclusion."""
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in train:
+        padded = b" " * order + running(t)
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                seen[k][padded[i - k : i]][padded[i]] += 1
+
+    def length(padded, i):
+        out, excluded = 0.0, set()
+        for k in range(order, -1, -1):
+            own = seen[k].get(padded[i - k : i])
+            if not own:
+                continue
+            left = {x: c for x, c in own.items() if x not in excluded}
+            weight = sum(left.values()) + len(left)
+            if padded[i] in left:
+                return out + math.log10(left[padded[i]] / weight)
+            if weight:
+                out += math.log10(len(left) / weight)
+            excluded = set(own)
+        return out - math.log10(256 - len(seen[0].get(b"", ())))
+
+    return length
+
+
+@pytest.mark.parametrize("adapt", [0.0, 0.1])
+def test_lm_scores_against_brute_force(docs, texts, adapt):
+    """Every text's score, unseen tokens among them, by dictionaries of contexts and counts."""
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in [*words(t), "\0end"])
+    total, kinds = sum(count.values()), len(count)
+    escape, length = kinds / (total + kinds), brute_ppm(train)
+    got, unseen = {r["doc_id"]: r for r in ppm.lm_scores(docs, adapt=adapt).collect()}, 0
+    for i, t in enumerate(texts):
+        padded, at, score, own = b" " * 5 + running(t), 5, 0.0, words(t)
+        before = collections.Counter()
+        for k, w in enumerate([*own, "\0end"]):
+            size = len(w.encode()) + 1 if k < len(own) else 1
+            belief = sum(length(padded, at + j) for j in range(size))
+            at += size
+            p = (1 - escape) * count[w] / total + escape * 10**belief
+            if k:
+                p = (1 - adapt) * p + adapt * (before[w] / k if k < len(own) else 0.0)
+            score += math.log10(p) if p else math.log10(escape) + belief + (math.log10(1 - adapt) if k else 0)
+            before[w] += 1
+            unseen += not count[w]
+        assert got[i]["score"] == pytest.approx(score, rel=1e-5), (i, t)
+    assert unseen > 5
 
 
 def test_lm_keeps_its_order_on_many_distinct_tokens(spark):
-    """Over 10 million contexts: unseen tokens score as in one trie of order 5 over all distinct training tokens."""
+    """Over 10 million contexts in several parts: scores as in one trie of order 5 over all training texts."""
     rng = np.random.default_rng(6)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
     train = letters[rng.integers(0, 36, (160_000, 44))]
@@ -240,12 +279,19 @@ def test_lm_keeps_its_order_on_many_distinct_tokens(spark):
     free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
     asked = [np.concatenate([train[0, :22], train[1, 22:]]), letters[rng.integers(0, 36, 44)]]
     rows = [(i, " ".join(x.tobytes().decode() for x in own)) for i, own in zip(free, np.split(train, 40), strict=True)] + [(i, x.tobytes().decode()) for i, x in zip(held, asked, strict=True)]
-    got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    seq, deep, _ = ppm.events(train.reshape(-1), np.full(len(train), 44))
-    trie = ppm.Trie(*zip(*(np.unique(ppm.grams(seq, deep, k)[1], return_counts=True) for k in range(6)), strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(df, block_bytes=1 << 20, part_bytes=2 << 20, adapt=0.0).collect()}
+    stream, sizes = ppm.streams(pa.array([t for i, t in rows if i in free]))
+    trie = ppm.trie(*ppm.summed(ppm.context_keys(stream, sizes, 5), np.ones(len(stream), np.int64)), 5)
     assert sum(map(len, trie.keys)) > 10_000_000
-    one, two = trie.scores(np.concatenate(asked), np.full(2, 44))
-    assert one - two > 20 and got[held[0]] - got[held[1]] == pytest.approx(one - two, rel=1e-5)
+    total, kinds = 160_040, 160_001
+    escape = kinds / (total + kinds)
+    for i, t in rows[40:]:
+        stream, sizes = ppm.streams(pa.array([t]))
+        own = trie.key_lengths(ppm.context_keys(stream, sizes, 5))
+        want = math.log10(escape) + own[:-1].sum() + math.log10((1 - escape) * 40 / total + escape * 10 ** own[-1])
+        assert got[i] == pytest.approx(want, rel=1e-5)
+    assert got[held[0]] - got[held[1]] > 20
 
 
 def test_lm_long_unseen_token_costs_the_same_in_any_place(spark):
@@ -254,26 +300,17 @@ def test_lm_long_unseen_token_costs_the_same_in_any_place(spark):
     long = "".join(random.Random(4).choice("qxzjkvw0123456789") for _ in range(10_000))
     rows = [(i, "a b tano tata") for i in range(60) if i not in held] + [(held[0], long), (held[1], "tata " + long)]
     got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[held[0]] < -5000 and -3 < got[held[1]] - got[held[0]] < 0
+    assert got[held[0]] < -5000 and -4 < got[held[1]] - got[held[0]] < 1
 
 
 def test_trie_sums_to_one():
-    data = np.frombuffer(b"tatatinotata", np.uint8)
-    size = np.array([6, 2, 4])
-    seq, deep, _ = ppm.events(data, size)
-    keys, counts = [], []
-    for k in range(4):
-        key, n = np.unique(ppm.grams(seq, deep, k)[1], return_counts=True)
-        keys.append(key)
-        counts.append(n)
-    trie = ppm.Trie(keys, counts)
-    for context in (b"", b"t", b"ta", b"tat", b"zz", b"no"):
-        # All 256 continuations of one context: the last predicted byte of each.
-        total = 0.0
-        for b in range(256):
-            seq = np.frombuffer(b" " + context + bytes([b]), np.uint8)
-            total += 10 ** trie.code_lengths(seq, np.arange(len(seq) - 1) + 1)[-1]
-        assert abs(total - 1) < 1e-9
+    stream, sizes = ppm.streams(pa.array(["tatati no", "tata ti", None]))
+    assert stream.tobytes() == b"tatati no \ntata ti \n\n" and sizes.tolist() == [11, 9, 1]
+    assert [(a, b) for a, b in zip(*ppm.tokens(stream), strict=True)] == [(0, 6), (7, 9), (11, 15), (16, 18)]
+    trie = ppm.trie(*ppm.summed(ppm.context_keys(stream, sizes, 3), np.ones(len(stream), np.int64)), 3)
+    for context in (b"   ", b"tat", b"ta ", b"zzz", b"xno", b"ti ", b"o \n"):
+        key = np.array([int.from_bytes(bytes([3]) + context + bytes([b])) for b in range(256)], np.uint64)
+        assert abs((10 ** trie.key_lengths(key)).sum() - 1) < 1e-9
 
 
 def test_line_dedup(docs, texts):
