@@ -2,13 +2,15 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.similarity import ratio
-from marginalia.operators import classify, lexical, matching, metadata, staging, taxonomy
-from marginalia.sources import files
+from marginalia.operators import classify, lexical, matching, metadata, similar, staging, taxonomy
+from marginalia.plans import phases
+from marginalia.sources import files, sinks
 from marginalia.streaming import counts
 
 SF = "/root/testdata/sf0.001"
@@ -103,10 +105,97 @@ def test_shelf_and_catalogue_sources(spark, tmp_path):
     assert got == {"1": ["Novel"], "2": ["Fact", "Essay"]}
 
 
+DOCUMENT = """# Terms
+
+## 1. Love
+
+Intro, only one comma.
+
+enemies to lovers (rivals to lovers, foes), HEA / HFN, slow burn — a remark, dubcon (see notes), fake dating.
+
+### Subgenres
+
+- no, list, of, terms, here
+
+Categories: dark romance (also grim), light romance, warm romance, cold romance
+
+### Heat level
+
+closed door, open door, fade to black, none of it
+
+## 9. Everywhere
+
+fake dating, found family (chosen family), twist ending, heists
+
+## 10. Facts
+
+> quoted, list, of, words
+
+economics, law & order, memoir writing, history
+
+## 11. Unknown
+
+a, b, c, d, e
+"""
+
+
 def test_taxonomy_source(spark, tmp_path):
-    (tmp_path / "t.md").write_text("# Terms\n\n## 1. Love\n\nIntro.\n\nenemies (rivals, foes), HEA / HFN, slow burn — a remark, fake dating.\n\n### Mood\n\n- no\n\ndark, light, warm, cold\n")
-    got = [(r["section"], r["display"]) for r in files.read_taxonomy(spark, str(tmp_path / "t.md")).collect()]
-    assert ("1. Love", "HEA") in got and ("1. Love", "HFN") in got and ("1. Love", "enemies") in got and ("1. Love", "slow burn") in got and ("Mood", "cold") in got
+    (tmp_path / "t.md").write_text(DOCUMENT)
+    got = {r["slug"]: r for r in files.read_taxonomy(spark, str(tmp_path / "t.md")).collect()}
+    kinds = {slug: (r["kind"], r["applies_to"], r["genres"]) for slug, r in got.items()}
+    assert kinds["romance"] == ("genre", "fiction", []) and kinds["enemies-to-lovers"] == ("trope", "fiction", ["Romance"]) and got["enemies-to-lovers"]["aliases"] == ["rivals to lovers, foes"]
+    assert kinds["hea"] == kinds["hfn"] == ("tag", "fiction", ["Romance"]) and got["slow-burn"]["display"] == "slow burn"
+    assert kinds["dubcon"] == ("warning", "both", ["Romance"]) and got["dubcon"]["aliases"] == [] and kinds["dark-romance"] == ("subgenre", "fiction", ["Romance"]) and got["dark-romance"]["aliases"] == []
+    assert kinds["open-door"] == ("tag", "fiction", ["Romance"]) and kinds["fake-dating"] == ("trope", "fiction", []) and got["found-family"]["aliases"] == ["chosen family"]
+    assert kinds["law-and-order"] == ("subject", "nonfiction", []) and kinds["hopeful"] == ("mood", "both", []) and "a" not in got and "no" not in got
+
+
+def test_review_source_and_pack_source(spark, tmp_path):
+    (tmp_path / "review.csv").write_text("\ufeffdecision(keep/blank),tier,tag\nkeep,A,x\n,B,y\n")
+    assert [tuple(r) for r in files.read_review(spark, str(tmp_path / "review.csv")).orderBy("tag").collect()] == [("keep", "A", "x"), (None, "B", "y")]
+    (tmp_path / "pack.csv").write_text('slug,tier,regex\nbet,A,"\\bbets?\\b"\nqueen,B,"queen, (the|a)"\n')
+    assert lexical.read_pack(spark, str(tmp_path / "pack.csv")) == [lexical.Pattern("bet", "A", r"\bbets?\b"), lexical.Pattern("queen", "B", "queen, (the|a)")]
+
+
+def test_golden_texts_of_the_packs(spark):
+    """Cases that patterns with word borders must not hit, and those that they must."""
+    pack = [lexical.Pattern("alien", "A", r"\baliens?\b"), lexical.Pattern("virgin", "A", r"\bvirgin (bride|hero)"), lexical.Pattern("heist", "B", r"\brob\b"), lexical.Pattern("bet", "B", r"\bbet\b")]
+    texts = spark.createDataFrame([(1, "Her alienation grows."), (2, "Virgin River"), (3, "problems"), (4, "makes a better hero"), (5, "An ALIEN lost a bet")], "id long, text string")
+    assert [(r["id"], r["slug"]) for r in lexical.match_rows(texts, pack).orderBy("id", "ord").collect()] == [(5, "alien"), (5, "bet")]
+
+
+def test_gzip_probe_and_versions(spark, tmp_path):
+    with gzip.open(tmp_path / "good.gz", "wt") as f:
+        f.write("a line\n")
+    (tmp_path / "bad.gz").write_bytes(b"no gzip at all, just text\n")
+    assert sinks.readable_gzip(spark, str(tmp_path / "good.gz")) and not sinks.readable_gzip(spark, str(tmp_path / "bad.gz"))
+    rows = spark.range(5)
+    sinks.replace(rows, str(tmp_path / "t"))
+    sinks.replace(rows.filter("id > 2"), str(tmp_path / "t"))
+    assert sinks.newest(spark, str(tmp_path / "t")).count() == 2
+    sinks.write_review(spark.createDataFrame([("x", 'a "b", c')], "decision string, title string"), str(tmp_path / "review"))
+    (part,) = (tmp_path / "review").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbf") and files.read_csv(spark, str(tmp_path / "review")).first().asDict() == {"decision": "x", "title": 'a "b", c'}
+
+
+def test_nearest_equals_all_pairs(spark):
+    """Bounds and blocks lose nothing: the k best of all pairs, on random texts."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 3)))
+    left, right = [(i, text(), text()) for i in range(60)], [(i, text(), text()) for i in range(90)]
+    rule = similar.Rule(0.7, 50.0, 40.0)
+    found = similar.nearest(spark.createDataFrame(left, "id long, one string, two string"), spark.createDataFrame(right, "id long, one string, two string"), 2, rule).collect()
+    order = lambda t: " ".join(sorted(t.split()))
+    want = set()
+    for i, a, b in left:
+        scored = sorted((-round(0.7 * x + 0.3 * ratio(order(b), order(d)), 6), k) for k, c, d in right if (x := ratio(order(a), order(c))) >= 50)
+        want |= {(i, k, -s) for s, k in scored[:2] if -s >= 40}
+    assert want and {(r["left_id"], r["right_id"], r["score"]) for r in found} == want
+
+
+def test_phases_go_on_after_a_failure(spark):
+    done = phases.run_phases(spark, [("one", lambda s: 3), ("two", lambda s: 1 // 0), ("three", lambda s: s.range(4).count())])
+    assert [(r["phase"], r["ok"], r["result"]) for r in done.orderBy("seq").collect()] == [("one", True, "3"), ("two", False, None), ("three", True, "4")] and "ZeroDivisionError" in done.filter("not ok").first()["error"]
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):
@@ -126,3 +215,12 @@ def test_recommendations_hold_their_limits(spark):
     assert df.count() > 0 and df.filter("score <= 0").isEmpty()
     assert df.groupBy("user_id", "category").count().agg(F.max("count")).first()[0] <= 3
     assert df.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 15
+
+
+def test_windowed_feedback_and_merged_counts(spark):
+    events = spark.createDataFrame([("click", "2024-01-01 00:10:00", 1.0), ("click", "2024-01-01 00:50:00", 2.5), ("view", "2024-01-01 01:10:00", 1.0)], "event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = counts.windowed_feedback(events).collect()
+    assert sorted((r["event_type"], r["n"], r["total"]) for r in got) == [("click", 2, 3.5), ("view", 1, 1.0)]
+    have = spark.createDataFrame([("u", 2)], "user_id string, seen_count long")
+    more = spark.createDataFrame([("u", 1), ("v", 4)], have.schema)
+    assert sorted(tuple(r) for r in counts.merge_counts(have, more, "user_id", "seen_count").collect()) == [("u", 3), ("v", 4)]
