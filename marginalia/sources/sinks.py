@@ -31,10 +31,10 @@ def newest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_review(df: DataFrame, path: str) -> None:
-    """One quoted CSV file with a header and a byte-order mark, in the order of the rows: for a person to open. Reviews are
+    """One CSV file with a header and a byte-order mark, in the order of the rows: for a person to open. Reviews are
     small; arrays are joined before."""
     first, *rest = df.columns
-    df.withColumnRenamed(first, BOM + first).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.withColumnRenamed(first, BOM + first).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
