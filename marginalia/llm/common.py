@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,6 +19,19 @@ from pyspark.sql import functions as F
 from marginalia.session import importable
 
 U64 = np.uint64
+
+
+def _return_memory() -> None:
+    """Large arrays are mapped each for itself and go back to the system when they are freed, in the long-lived Python
+    workers too; Arrow's buffers come from the same allocator."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD of the C library, where it has one
+    except (AttributeError, OSError):
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
