@@ -25,7 +25,7 @@ def _return_memory() -> None:
     """Large arrays are mapped each for itself and go back to the system when they are freed, in the long-lived Python
     workers too; Arrow's buffers come from the same allocator."""
     try:
-        ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD of the C library, where it has one
+        ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD of the C library, where it has one
     except (AttributeError, OSError):
         return
     pa.set_memory_pool(pa.system_memory_pool())
