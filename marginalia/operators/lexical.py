@@ -47,19 +47,21 @@ def match_context(text: Column, regex: str, pad: int = 40) -> Column:
 
 
 def matches(text: Column, pack: Sequence[Pattern], context: bool = False) -> Column:
-    """Array of (ord, slug, tier, phrase[, context]), in the order of the pack; the first hit of each pattern."""
+    """Array of (ord, slug, tier, phrase[, context]), in the order of the pack; the first hit of each pattern, a hit being
+    one sign or more."""
 
     def hit(i: int, p: Pattern) -> Column:
-        fields = [F.lit(i).alias("ord"), F.lit(p.slug).alias("slug"), F.lit(p.tier).alias("tier"), F.regexp_extract(text, f"(?iu){p.regex}", 0).alias("phrase")]
-        return F.when(text.rlike(f"(?iu){p.regex}"), F.struct(*fields, *([match_context(text, p.regex).alias("context")] if context else [])))
+        phrase = F.nullif(F.regexp_extract(text, f"(?iu){p.regex}", 0), F.lit(""))
+        fields = [F.lit(i).alias("ord"), F.lit(p.slug).alias("slug"), F.lit(p.tier).alias("tier"), phrase.alias("phrase")]
+        return F.when(phrase.isNotNull(), F.struct(*fields, *([match_context(text, p.regex).alias("context")] if context else [])))
 
     chunks = [F.filter(F.array(*(hit(i + k, p) for k, p in enumerate(pack[i : i + CHUNK]))), lambda x: x.isNotNull()) for i in range(0, len(pack), CHUNK)]
     return F.concat(*chunks) if len(chunks) > 1 else chunks[0]
 
 
-def match_rows(texts: DataFrame, pack: Sequence[Pattern], limit: int | None = 8) -> DataFrame:
-    """texts: (id, text). (id, ord, slug, tier, phrase, context) of the first `limit` patterns that hit each text."""
-    found = matches(F.col("text"), pack, context=True)
+def match_rows(texts: DataFrame, pack: Sequence[Pattern], limit: int | None = 8, context: bool = True) -> DataFrame:
+    """texts: (id, text). (id, ord, slug, tier, phrase[, context]) of the first `limit` patterns that hit each text."""
+    found = matches(F.col("text"), pack, context)
     return texts.select("id", F.explode(F.slice(found, 1, limit) if limit else found).alias("m")).select("id", "m.*")
 
 

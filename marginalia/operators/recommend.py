@@ -149,7 +149,7 @@ def best_by_category(history: DataFrame, books: DataFrame, recent: DataFrame | N
         mine = F.array_union(F.coalesce("tropes", none), F.transform(F.coalesce("tags", none), profile.canonical_tag))
         shown = shown.filter(F.arrays_overlap(mine, F.array(*map(F.lit, selected))))
     readers = _reader_entries(history, recent, books)
-    n_users, user_block = _salted(readers.agg(F.approx_count_distinct("owner")).first()[0], USERS_IN_BLOCK, F.col("owner"))
+    n_users, user_block = _salted(history.agg(F.approx_count_distinct("user_id")).first()[0], USERS_IN_BLOCK, F.col("owner"))
     n_books, book_block = _salted(shown.count(), BOOKS_IN_BLOCK, F.col("owner"))
     labels = shown.select(F.col("id").cast("long").alias("owner"), category(F.col("genres")).alias("label"))
     users = readers.withColumn("label", F.lit("")).withColumn("block", user_block)

@@ -246,12 +246,12 @@ _PACK = """m AS (SELECT doc_id AS id, p.ord, p.slug, p.tier, regexp_extract(text
 
 
 def _pack_rows(spark, d):
-    return lexical.match_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), PACK)
+    return lexical.match_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), PACK, 8, context=False)
 
 
 @query("lexical_pack", f"WITH {_PACK} SELECT id, CAST(ord AS INT) AS ord, slug, tier, phrase FROM m")
 def lexical_pack(spark, d):
-    return _pack_rows(spark, d).drop("context")
+    return _pack_rows(spark, d)
 
 
 @query("lexical_tier_mix", f"WITH {_PACK}, t AS (SELECT id, count(*) AS n, array_to_string(list_sort(list_distinct(list(tier))), '+') AS tiers FROM m GROUP BY id) SELECT id, n, tiers, CASE WHEN tiers = 'A' THEN 'high' ELSE 'medium' END AS confidence FROM t")

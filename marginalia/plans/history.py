@@ -212,7 +212,7 @@ def review_export(spark, d):
 # --- packs -----------------------------------------------------------------------------------------------------
 
 #: 120 made patterns: words by their opening, in ASCII signs that both engines read alike.
-WIDE_PACK = [Pattern(f"{a}{b}", "A" if i % 2 == 0 else "B", rf"(?:^|[ \n]){a}{b}[a-z]*") for i, (a, b) in enumerate((a, b) for a in "bcdfghklmnprstvwaeioxyzj"[:24] for b in "aeiou")]
+WIDE_PACK = [Pattern(f"{a}{b}", "A" if i % 2 == 0 else "B", rf" {a}{b}[a-z]*") for i, (a, b) in enumerate((a, b) for a in "bcdfghklmnprstvwaeioxyzj"[:24] for b in "aeiou")]
 _WIDE_SQL = f"""pack AS (SELECT * FROM (VALUES {values([(i, p.slug, p.tier, p.regex) for i, p in enumerate(WIDE_PACK)])}) p(ord, slug, tier, regex)),
   hits AS (SELECT doc_id AS id, ord, slug, tier, regexp_extract(text, '(?i)' || regex, 0) AS phrase FROM documents, pack WHERE regexp_matches(text, '(?i)' || regex)),
   capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM hits) WHERE r <= 8)"""
@@ -223,7 +223,7 @@ def wide_pack(spark, d):
     """A pack of 120 patterns over every text, in one pass, at most eight hits a text."""
     from marginalia.operators.lexical import match_rows
 
-    return match_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), WIDE_PACK, 8).drop("context")
+    return match_rows(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), WIDE_PACK, 8, context=False)
 
 
 _TROPES = [Pattern("bet", "A", r"\bbet\b"), Pattern("lesbian", "A", r"\blesbian\b"), Pattern("queen", "B", r"\bqueens?\b"), Pattern("war", "B", r"\bwars?\b")]
