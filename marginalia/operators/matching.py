@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,11 +65,44 @@ def pending(rows: DataFrame) -> DataFrame:
     return rows.filter("match_status = 'unmatched'").groupBy("user_id", "raw_title", "raw_author").agg(F.count("*").alias("seen_count"), F.min("date_read").alias("first_seen"))
 
 
-def embedding_nearest(queries: DataFrame, vectors: DataFrame, k: int = 1) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k vectors of highest cosine; both sides (id, embedding)."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    q, v = queries.select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("q")), vectors.select(F.col("id").alias("vec_id"), unit(F.col("embedding")).alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = q.join(v, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 6).alias("score"))
+_NEAR = "query_id long, vec_id long, score double"
+
+
+def _unit(rows: list[dict]) -> np.ndarray:
+    own = np.array([r["e"] for r in rows], np.float64)
+    return own / np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-300)
+
+
+def _products(k: int):
+    """The k of highest cosine in each pair of blocks, others than the query itself; of equal ones the smallest ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                queries, vectors = row["queries"], sorted(row["vectors"], key=lambda r: r["id"])
+                ids = np.array([r["id"] for r in vectors])
+                value = np.round(_unit(queries) @ _unit(vectors).T, 6)
+                out = [[], [], []]
+                for q, own in zip(queries, value, strict=True):
+                    best = np.argsort(-np.where(ids == q["id"], -2.0, own), kind="stable")[:k]
+                    best = best[ids[best] != q["id"]]
+                    for column, x in zip(out, ([q["id"]] * len(best), ids[best].tolist(), own[best].tolist()), strict=True):
+                        column += x
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def embedding_nearest(queries: DataFrame, vectors: DataFrame, k: int = 1, per_block: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k vectors of highest cosine; both sides (id, embedding). Each pair of a block of
+    queries and a block of vectors is one matrix product, of which k a query leave the task."""
+
+    def blocks(df: DataFrame, name: str, own: int, other: int, away: str) -> DataFrame:
+        packed = df.select(F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(f"{name}_block"), F.struct(F.col("id").cast("long").alias("id"), F.col("embedding").alias("e")).alias("e")).groupBy(f"{name}_block").agg(F.collect_list("e").alias(name))
+        return packed.withColumn(f"{away}_block", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    n, m = (max(1, -(-df.count() // per_block)) for df in (queries, vectors))
+    pairs = blocks(queries, "queries", n, m, "vectors").join(blocks(vectors, "vectors", m, n, "queries"), ["queries_block", "vectors_block"])
+    found = pairs.select("queries", "vectors").mapInArrow(_products(k), _NEAR)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
