@@ -345,12 +345,12 @@ def html_title_links(spark, d):
     return page_records(table(spark, d, "pages")).drop("json_ld")
 
 
-@query("stratified_sample", None)
+@query("stratified_sample", "SELECT doc_id, lang, CAST(rank AS INT) AS rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|7'), doc_id) AS rank FROM documents) WHERE rank <= 10")
 def stratified_sample(spark, d):
-    """Ten documents of each language, by a seeded hash."""
+    """Ten documents of each language, by a hash with seed 7."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|7"))), "doc_id"))
     return table(spark, d, "documents").select("doc_id", "lang", rank.alias("rank")).filter("rank <= 10")
 
 
