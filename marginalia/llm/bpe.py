@@ -9,6 +9,8 @@ from __future__ import annotations
 import base64
 import json
 import re
+import zlib
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -23,17 +25,28 @@ _INSIDE = "[ \\t\\n\\r\\f\\v] [ \\t\\n\\r\\f\\v]|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1
 _LEADING = r"^([ \t\n\r\f\v]|$)"
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """A tiktoken file's content and the added tokens: read on the driver, and sent to the executors."""
+
+    ranks: bytes
+    added: tuple[tuple[str, int], ...]
+
+
+def vocabulary(ranks_path: str) -> Vocabulary:
+    return Vocabulary(Path(ranks_path).read_bytes(), tuple(added_tokens(ranks_path).items()))
+
+
 class ChunkEncoder:
     """Encodes with the ranks of a tiktoken file. The tokens that the .json file of the same name adds to the vocabulary are
     taken out of the texts first, as tokenizers does; without such a file there are none."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, words: Vocabulary, pattern: str):
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, words.ranks.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.added = added_tokens(ranks_path)
+        self.added = dict(words.added)
         self.added_pattern = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
         ranks |= {token.encode(): rank for token, rank in self.added.items()}
         self.token_bytes = np.zeros(max(ranks.values()) + 2, np.int64)
@@ -122,14 +135,15 @@ def added_tokens(ranks_path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in added}
 
 
-_encoders: dict[tuple[str, str], ChunkEncoder] = {}
+_encoders: dict[tuple[int, str], ChunkEncoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> ChunkEncoder:
+def encoder(words: Vocabulary, pattern: str) -> ChunkEncoder:
     """One encoder for each Python worker."""
-    if (ranks_path, pattern) not in _encoders:
-        _encoders[ranks_path, pattern] = ChunkEncoder(ranks_path, pattern)
-    return _encoders[ranks_path, pattern]
+    key = zlib.crc32(words.ranks), pattern
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(words, pattern)
+    return _encoders[key]
 
 
 def byte_offsets(enc: ChunkEncoder, ids: np.ndarray) -> np.ndarray:

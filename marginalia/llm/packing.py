@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe import encoder
+from marginalia.llm.bpe import encoder, vocabulary
 from marginalia.llm.common import partitions, steps, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,8 +37,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
     """Every piece of every whole text: (doc_id, piece, start, length, ids_crc32)."""
 
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(words.value, pattern)
         end = np.array([end_id], "<u4")
         for batch in batches:
             for i, j in steps(_offsets(batch.column(1)), 8 << 20):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.bpe import encoder
+from marginalia.llm.bpe import encoder, vocabulary
 from marginalia.llm.common import buffers, steps
 
 SCHEMA = "doc_id long, section int, start long, length long, n_tokens long, n_crossing long, document_tokens long"
@@ -45,14 +45,17 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "
     n_crossing (tokens of the section that reach into another one) and document_tokens.
 
     Sections are lines, each with the newline that ends it. A null or empty text is one empty section without tokens.
-    Repeated rows are counted each for itself; an empty table gives no rows; other columns aren't read.
+    Repeated rows are counted each for itself; a text of any length is encoded whole; an empty table gives no
+    rows; other columns aren't read. The vocabulary is read on the driver and sent to the executors.
     """
 
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(words.value, pattern)
         for batch in batches:
             off = buffers(batch.column(1))[1]
-            for i, j in steps(off, 32 << 20):
+            for i, j in steps(off, 8 << 20):
                 texts = batch.column(1).slice(i, j - i)
                 data, at = buffers(texts)
                 ids, place = enc.encode(texts)

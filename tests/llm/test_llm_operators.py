@@ -161,13 +161,13 @@ def test_added_tokens_have_their_ids(spark):
     """Ids and lengths in bytes equal those of tokenizers on texts with the file's added token, in op9 and op5."""
     from tokenizers import Tokenizer
 
-    from marginalia.llm.bpe import encoder
+    from marginalia.llm.bpe import encoder, vocabulary
 
     t, end = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
     texts = [f"a {end} b", end, end + end, f"x{end}\n\n  {end}   y  ", f"a  {end}b c <|endoftext|", "a b", f"<|{end}|> 日本 {end}", None, f"word {end} " * 900]
     want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert want[0] == [64, 220, 50256, 275]
-    enc = encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    enc = encoder(vocabulary(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
     ids, at = enc.encode(pa.array(texts))
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
     assert [int(enc.token_bytes[ids[at[k] : at[k + 1]]].sum()) for k in range(len(texts))] == [len((x or "").encode()) for x in texts]
