@@ -367,7 +367,18 @@ def test_section_tokens(docs, texts, rule):
     for i, x in enumerate(texts):
         parts = re.findall("[^\n]*\n|[^\n]+", x or "") or [""]
         assert [rows[i][k]["length"] for k in range(len(parts))] == [len(p.encode()) for p in parts]
-        assert sum(r["n_tokens"] for r in rows[i].values()) == len(t.encode(x or "", add_special_tokens=False).ids)
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert sum(r["n_tokens"] for r in rows[i].values()) == len(ids) == rows[i][0]["document_tokens"]
+        section = [k for k, p in enumerate(parts) for _ in p.encode()]  # of every byte; a byte is a sign of a token's name
+        tokens, crossing, at = collections.Counter(), collections.Counter(), 0
+        for own in ids:
+            size = len(t.id_to_token(own))
+            inside = section[at : at + size]
+            home = {"first": inside[0], "last": inside[-1], "most": max(sorted(set(inside)), key=inside.count)}[rule]
+            tokens[home] += 1
+            crossing[home] += len(set(inside)) > 1
+            at += size
+        assert at == len((x or "").encode()) and [(rows[i][k]["n_tokens"], rows[i][k]["n_crossing"]) for k in range(len(parts))] == [(tokens[k], crossing[k]) for k in range(len(parts))]
 
 
 def test_attribution_rules():
