@@ -2,8 +2,9 @@
 
 Each language has a codeword of bits. For each bit a binary classifier over byte n-grams (naive Bayes log-odds, hashed
 trigrams of the lower-case text, everything but letters as a space) tells the languages whose bit is 1 from the others.
-A text's margins, one for each bit, are compared with all codewords by a logistic loss, weighted by how reliable each
-classifier was on the training rows; the codeword of least loss wins, and a text whose two best are close is ambiguous.
+A text's margins, one for each bit, are compared with all codewords by a logistic loss, weighted by how far apart each
+classifier keeps the languages' mean training margins; the codeword of least loss wins, and a text whose two best are
+close is ambiguous.
 """
 
 from __future__ import annotations
@@ -51,8 +52,8 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts, and each text's offsets among them. Trigrams of three spaces count as well, they
-    tell no language from another."""
+    """Hashed trigrams of all texts, each with a space before and after it, and each text's offsets among them. Trigrams of
+    three spaces count as well, they tell no language from another."""
     data, off = buffers(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     n = np.diff(off)
     # A space before and after each text.
@@ -62,7 +63,9 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(padded) < 3:
         return np.empty(0, np.int64), np.zeros(len(n) + 1, np.int64)
     key = padded[:-2] << np.uint32(16) | padded[1:-1] << np.uint32(8) | padded[2:]
-    return (key * _PRIME >> np.uint32(32 - HASH_BITS)).astype(np.int64), np.minimum(off + 2 * np.arange(len(off)), len(key))
+    keep = np.ones(len(padded), bool)  # a text's last space and its border with the next text begin no trigram
+    keep[off[1:] + 2 * np.arange(len(n))] = keep[off[1:] + 2 * np.arange(len(n)) + 1] = False
+    return (key[keep[: len(key)]] * _PRIME >> np.uint32(32 - HASH_BITS)).astype(np.int64), off
 
 
 @dataclass
@@ -160,7 +163,8 @@ def identify(docs: DataFrame, model: Ecoc | None, mod: int = 4, remainder: int =
     """doc_id, held_out, lang_pred, score and ambiguous of every row, from its whole text alone.
 
     lang_pred is `und`, with score 0 and ambiguous true, where the text is null or has no letter, or where there was
-    nothing to learn from. Rows that repeat are judged alike; an empty table gives no rows. lang and source are not read.
+    nothing to learn from. Rows that repeat are judged alike; a text of any length is judged whole; of languages as good the
+    first by name is told. An empty table gives no rows. lang and source are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -197,6 +197,46 @@ def test_language_codes_and_edges(docs, spark):
     assert all(r["lang_pred"] == "und" for r in langid.identify(docs, None).collect())
 
 
+def test_language_id_against_brute_force(spark):
+    """Training and decoding by dictionaries and loops give the same languages and scores, on whole texts."""
+    rng = random.Random(12)
+    stems = {"aa": ["tado", "lume", "sira"], "bb": ["krotz", "schun", "ßelt"], "cc": ["quoi", "eaux", "tado"]}
+    rows = [(i, " ".join(rng.choice(stems[g]) + rng.choice(["", "s", "e"]) for _ in range(rng.randint(1, 40))) + rng.choice(["", " 12!", "\nX"]), g) for i, g in enumerate(rng.choice("abc") * 2 for _ in range(150))]
+    rows += [(900, None, "aa"), (901, "12 -", "bb"), (902, "zzz", None), (903, "Tado TADO", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def trigrams(text):
+        raw = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in (" " + text.lower() + " ").encode())
+        return collections.Counter((int.from_bytes(raw[k : k + 3]) * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for k in range(len(raw) - 2))
+
+    sums = collections.defaultdict(collections.Counter)
+    for i, t, g in rows:
+        if t and g and zlib.crc32(str(i).encode()) % 4 != 2:
+            own = trigrams(t)
+            for k, n in own.items():
+                sums[g][k] += n / sum(own.values())
+    langs, code = sorted(sums), langid.codewords(len(sums))
+    share = {g: collections.Counter({k: v / sum(sums[g].values()) for k, v in sums[g].items()}) for g in langs}
+    bits = []
+    for b in range(code.shape[1]):
+        sides = [[g for g, c in zip(langs, code[:, b], strict=True) if c * sign > 0] for sign in (1, -1)]
+        odds = lambda k, sides=sides: math.log(sum(share[g][k] for g in sides[0]) / len(sides[0]) + 1e-7) - math.log(sum(share[g][k] for g in sides[1]) / len(sides[1]) + 1e-7)
+        mean = {g: sum(v * odds(k) for k, v in share[g].items()) for g in langs}
+        low, high = min(mean[g] for g in sides[0]), max(mean[g] for g in sides[1])
+        bits.append((odds, (low + high) / 2, max(low - high, 1e-3)))
+    model = langid.train(df)
+    got = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
+    for i, t, _ in rows:
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        own = trigrams(t)
+        margin = [sum(n * odds(k) for k, n in own.items()) / sum(own.values()) - bias for odds, bias, _ in bits]
+        loss = [sum(w * math.log1p(math.exp(-model.sharpness * m * c)) for m, c, (_, _, w) in zip(margin, word, bits, strict=True)) / sum(w for *_, w in bits) for word in code]
+        belief = [math.exp(min(loss) - x) for x in loss]
+        assert got[i]["lang_pred"] == langs[loss.index(min(loss))] and got[i]["score"] == pytest.approx(max(belief) / sum(belief), rel=1e-3)
+
+
 def test_language_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identify(df, langid.train(df)).filter("held_out").join(df.select("doc_id", "lang"), "doc_id")
