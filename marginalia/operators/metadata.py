@@ -55,7 +55,8 @@ def fill_empty(books: DataFrame, found: DataFrame, columns: list[str]) -> DataFr
 
 def edition_rollup(editions: DataFrame) -> DataFrame:
     """editions: (id, seq, isbn, date, pages). (id, isbns, isbn, year, pages): all ISBNs sorted, the first of 13 digits
-    or else the first, the earliest year, the first number of pages."""
+    or else the first, the earliest year, the first number of pages. `seq` orders a book's editions; where it may repeat,
+    give a struct that tells them apart."""
     out = editions.groupBy("id").agg(F.array_sort(F.collect_set("isbn")).alias("isbns"), F.min(first_year("date")).alias("year"), F.min_by("pages", F.when(F.col("pages").isNotNull(), F.col("seq"))).alias("pages"))
     return out.select("id", "isbns", F.coalesce(F.get(F.filter("isbns", lambda x: F.length(x) == 13), F.lit(0)), F.get("isbns", F.lit(0))).alias("isbn"), "year", "pages")
 

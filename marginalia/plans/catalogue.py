@@ -312,9 +312,11 @@ def genre_repair(spark, d):
 @query("edition_rollup", """WITH e AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, lpad(CAST(l_suppkey AS VARCHAR), CASE WHEN l_linenumber % 2 = 0 THEN 13 ELSE 10 END, '0') AS isbn, CAST(year(CAST(l_shipdate AS DATE)) AS INT) AS y, CASE WHEN l_linenumber > 2 THEN CAST(l_quantity AS INT) END AS pages FROM lineitem)
   SELECT id, count(DISTINCT isbn) AS n_isbns, coalesce(min(isbn) FILTER (length(isbn) = 13), min(isbn)) AS isbn, min(y) AS year, min_by(pages, CASE WHEN pages IS NOT NULL THEN seq END) AS pages FROM e GROUP BY id""")
 def edition_rollup(spark, d):
+    """Lines of equal number count in the order of the table, as DuckDB's min_by takes them on one thread."""
+    seq = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     e = table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, F.lpad(F.col("l_suppkey").cast("string"), 13, "0")).otherwise(F.lpad(F.col("l_suppkey").cast("string"), 10, "0")).alias("isbn"),
-        F.date_format("l_shipdate", "MMMM yyyy").alias("date"), F.when(F.col("l_linenumber") > 2, F.col("l_quantity").cast("int")).alias("pages"),
+        F.col("l_partkey").alias("id"), seq.alias("seq"), F.when(F.col("l_linenumber") % 2 == 0, F.lpad(F.col("l_suppkey").cast("string"), 13, "0")).otherwise(F.lpad(F.col("l_suppkey").cast("string"), 10, "0")).alias("isbn"),
+        F.date_format("l_shipdate", "MMMM yyyy").alias("date"), F.when(F.col("l_linenumber") > 2, F.rint("l_quantity").cast("int")).alias("pages"),
     )
     return metadata.edition_rollup(e).select("id", F.size("isbns").cast("long").alias("n_isbns"), "isbn", "year", "pages")
 
