@@ -21,6 +21,7 @@ def confirm_works(books: DataFrame, work: DataFrame, author_names: DataFrame, le
     """(key, id, verified): works with a book's normal title whose authors' names, together, are alike enough or missing on
     a side; a work belongs to the smallest book id that it fits. Only authors of works with a title match are read."""
     b = books.select("id", normalize_title("title").alias("nt"), normalize_author(F.coalesce("author", F.lit(""))).alias("na")).filter("nt <> ''")
+    b = b.groupBy("nt", "na").agg(F.min("id").alias("id"))  # books of one title and author fit the same works
     hit = work.select("key", normalize_title("title").alias("nt"), "authors").join(b, "nt")
     needed = hit.select("key", F.posexplode("authors").alias("pos", "author")).distinct()
     names = needed.join(author_names.select(F.col("key").alias("author"), "name"), "author").filter("name IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("names"))
