@@ -50,9 +50,10 @@ def weighted_reads(history: DataFrame) -> DataFrame:
 
 
 def taste_weights(history: DataFrame, books: DataFrame) -> DataFrame:
-    """(user_id, kind, feature, weight, n). A user's reads of one book are summed before its features are joined."""
+    """(user_id, kind, feature, weight, n). A user's reads of one book are summed before its features are joined. These are
+    many times the catalogue that Spark estimates them by, so they are never broadcast."""
     reads = weighted_reads(history).groupBy("user_id", "book_id").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-    return reads.join(features(books), "book_id").groupBy("user_id", "kind", "feature").agg(F.sum("w").alias("weight"), F.sum("n").alias("n"))
+    return reads.join(features(books).hint("merge"), "book_id").groupBy("user_id", "kind", "feature").agg(F.sum("w").alias("weight"), F.sum("n").alias("n"))
 
 
 def top_features(weights: DataFrame) -> DataFrame:
