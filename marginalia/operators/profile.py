@@ -65,7 +65,7 @@ def top_features(weights: DataFrame) -> DataFrame:
 
 def preference_histograms(history: DataFrame, books: DataFrame) -> DataFrame:
     """(user_id, preference, value, n) over reads of 4 stars or more; spice by its five levels, N/A among them."""
-    liked = read_rows(history).filter("user_rating >= 4").join(books.select(F.col("id").alias("book_id"), "pacing", "spice_level", "focus"), "book_id")
+    liked = read_rows(history).filter("user_rating >= 4").join(books.select(F.col("id").alias("book_id"), "pacing", "spice_level", "focus").hint("merge"), "book_id")
     values = F.explode(F.array(*(F.struct(F.lit(k).alias("preference"), v.alias("value")) for k, v in (("pacing", F.col("pacing")), ("spice", canonical_spice("spice_level")), ("focus", F.col("focus"))))))
     return liked.select("user_id", values.alias("v")).select("user_id", "v.*").filter("value <> ''").groupBy("user_id", "preference", "value").agg(F.count("*").alias("n"))
 

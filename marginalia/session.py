@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -32,3 +33,8 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join(p for p in (ROOT, *paths) if p)
     return spark
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """df, computed now and kept on the executors' disks as long as it is used; plans begin anew from its rows."""
+    return df.localCheckpoint(True, StorageLevel.DISK_ONLY)
